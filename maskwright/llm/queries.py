@@ -2,17 +2,60 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .common import table
+from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
+from .mixing import mix_sources
+from .sharding import shard_by_bytes
+
+
+def op3_decontaminate(spark, sf_dir):
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op4_mix_sources(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_shard(spark, sf_dir):
+    return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup}
+QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
+    "op4_mix_sources": op4_mix_sources,
+    "op5_shard": op5_shard,
+    "op8_exact_dedup": op8_exact_dedup,
+}
 
 ORACLES = {
+    "op3_decontaminate": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), win AS (
+  SELECT item, least(8, len(w)) AS n, unnest(list_transform(range(1, greatest(2, len(w) - 6)), lambda k: array_to_string(w[k:k + least(8, len(w)) - 1], ' '))) AS g
+  FROM i WHERE len(w) > 0
+), lens AS (SELECT DISTINCT n FROM win
+), dw AS (
+  SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, lens WHERE len(w) >= n)
+), hit AS (SELECT DISTINCT doc_id, k, dw.n, item FROM dw JOIN win USING (n, g)
+), hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id
+), hi AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+""",
     "op8_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
