@@ -45,14 +45,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = keep.write(base.groupBy("gid", "digit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gid", "digit", F.lit(True).alias("shared")), "shared0")
     alive = F.col("shared").isNotNull()
     first = keep.write(
-        base.join(shared, ["gid", "digit"], "left").select("row", "doc_id", "text_sha256", "gid", F.when(alive, F.col("rest")).alias("rest"), F.coalesce("shared", F.lit(False)).alias("shared")),
+        base.join(shared.hint("merge"), ["gid", "digit"], "left").select("row", "doc_id", "text_sha256", "gid", F.when(alive, F.col("rest")).alias("rest"), F.coalesce("shared", F.lit(False)).alias("shared")),
         "first",
     )
     left, ended, width, step = first.filter("shared").select("row", "doc_id", "gid", "rest"), [], first_width, 0
     while True:
         left = left.withColumn("digit", F.substring("rest", 1, width))
         multi = groups(left, f"groups{step}")
-        split = left.join(multi, ["gid", "digit"])
+        split = left.join(multi.hint("merge"), ["gid", "digit"])
         done = F.octet_length("rest") <= width
         split = keep.write(split.select("row", "doc_id", F.col("next_gid").alias("gid"), F.when(~done, F.substring("rest", width + 1, _END)).alias("rest"), F.when(done, F.col("keep_id")).alias("keep_id"), F.when(done, F.col("keep_row")).alias("keep_row"), F.when(done, F.col("n")).alias("n")), f"split{step}")
         ended.append(split.filter("rest IS NULL").select("row", "keep_id", "keep_row", "n"))
@@ -64,7 +64,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for more in ended[1:]:
         found = found.unionByName(more)
     alone = F.col("n").isNull()
-    return first.select("row", "doc_id", "text_sha256").join(found, "row", "left").select(
+    return first.select("row", "doc_id", "text_sha256").join(found.hint("merge"), "row", "left").select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),

@@ -117,11 +117,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     plan = lengths.groupBy("_key").applyInPandas(fit, "_key string, size long, _n long, source_size long, target double, _full long, _take long").drop("_n")
     ahead = Window.partitionBy("_key", "size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).select("_key", "size", "_bucket", "_ahead")
-    decided = keep.write(cells.join(plan, ["_key", "size"]), "decided")
+    decided = keep.write(cells.join(plan.hint("merge"), ["_key", "size"]), "decided")
     drawn = Window.partitionBy("_key", "size", "_bucket").orderBy("_draw", "doc_id")
     repeats = F.when(F.col("size") > 0, F.col("_full") + (F.col("_ahead") + F.row_number().over(drawn) <= F.col("_take")).cast("long")).otherwise(F.lit(0))
     return (
-        sized.join(decided, ["_key", "size", "_bucket"])
+        sized.join(decided.hint("merge"), ["_key", "size", "_bucket"])
         .withColumn("repeats", repeats.cast("long"))
         .select(*carry, "doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
     )

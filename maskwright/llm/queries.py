@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
+from .language_id import fit, identify
 from .mixing import mix_sources
 from .sharding import shard_by_bytes
+from .simhash import as_hex, near_duplicates
 
 
 def op3_decontaminate(spark, sf_dir):
@@ -24,15 +26,28 @@ def op5_shard(spark, sf_dir):
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", as_hex("fp").alias("fingerprint"), "component_id")
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out")
+    model = fit(docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
+    return identify(docs.select("doc_id", held_out, "text"), model, carry=("doc_id", "held_out")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_mix_sources": op4_mix_sources,
     "op5_shard": op5_shard,
+    "op6_simhash": op6_simhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES = {
