@@ -9,10 +9,16 @@ from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .language_id import fit, identify
 from .mixing import mix_sources
+from .repeats import remove_repeats
 from .sharding import shard_by_bytes
 from .simhash import as_hex, near_duplicates
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_decontaminate(spark, sf_dir):
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -42,6 +48,7 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_mix_sources": op4_mix_sources,
     "op5_shard": op5_shard,
