@@ -8,6 +8,7 @@ from .common import table
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .language_id import fit, identify
+from .maxent_lm import score_texts
 from .mixing import mix_sources
 from .repeats import remove_repeats
 from .sharding import shard_by_bytes
@@ -40,6 +41,11 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_maxent_lm(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    return score_texts(table(spark, sf_dir, "documents"), held_out)
+
+
 def op10_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out")
@@ -54,6 +60,7 @@ QUERIES = {
     "op5_shard": op5_shard,
     "op6_simhash": op6_simhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_maxent_lm": op9_maxent_lm,
     "op10_language_id": op10_language_id,
 }
 
