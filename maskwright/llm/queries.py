@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .language_id import fit, identify
@@ -13,6 +13,17 @@ from .mixing import mix_sources
 from .repeats import remove_repeats
 from .sharding import shard_by_bytes
 from .simhash import as_hex, near_duplicates
+from .token_files import count_tokens, write_token_files
+from .warc import read_archives, write_archives
+
+#: The vocabulary that op7 counts with; a file of ranks and its id for the end of a document.
+VOCABULARY, SEPARATOR = "byte_bpe_50k.tiktoken", 50256
+
+
+def op1_warc(spark, sf_dir):
+    archives = write_archives(table(spark, sf_dir, "pages"), Scratch(spark, "warc-files").path("archives"))
+    whole = read_archives(archives).filter("last")
+    return whole.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 def op2_suffix_dedup(spark, sf_dir):
@@ -37,6 +48,16 @@ def op6_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", as_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op7_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    with open(public_tokenizers.path(VOCABULARY), "rb") as file:
+        vocabulary = file.read()
+    files, roster = write_token_files(table(spark, sf_dir, "documents"), Scratch(spark, "token-files").path("files"), vocabulary, public_tokenizers.PATTERN, SEPARATOR)
+    counted = count_tokens(files, SEPARATOR)
+    return roster.join(counted.hint("merge"), ["path", "ordinal"]).select("doc_id", "n_tokens")
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -54,17 +75,30 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_mix_sources": op4_mix_sources,
     "op5_shard": op5_shard,
     "op6_simhash": op6_simhash,
+    "op7_token_counts": op7_token_counts,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_maxent_lm": op9_maxent_lm,
     "op10_language_id": op10_language_id,
 }
 
 ORACLES = {
+    "op1_warc": r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS html FROM pages
+), g AS (
+  SELECT html, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY html
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN g USING (html)
+""",
     "op3_decontaminate": r"""
 WITH d AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
