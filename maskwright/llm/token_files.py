@@ -97,7 +97,7 @@ def count_tokens(files: DataFrame, separator: int, kind: str = "<u2", block_byte
     found = keep.write(blocks.repartition(n, "path", "block").mapInArrow(scan, "path string, block long, n long, places array<int>"), "blocks")
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(0).cast("long")
-    sums = found.select("path", "block", "n", F.size("places").cast("long").alias("k"), F.element_at("places", -1).alias("last"))
+    sums = found.select("path", "block", "n", F.size("places").cast("long").alias("k"), F.try_element_at("places", F.lit(-1)).alias("last"))
     sums = sums.withColumns({"start": F.coalesce(F.sum("n").over(before), none), "ordinal": F.coalesce(F.sum("k").over(before), none)})
     sums = sums.withColumn("previous", F.coalesce(F.max(F.col("start") + F.col("last")).over(before), F.lit(-1).cast("long")))
     ended = found.select("path", "block", "places").join(sums.hint("merge"), ["path", "block"]).select("path", "ordinal", F.posexplode(F.transform("places", lambda p, i: F.when(i == 0, F.col("start") + p - F.col("previous") - 1).otherwise(p - F.get("places", i - 1) - 1))).alias("i", "n_tokens"))
