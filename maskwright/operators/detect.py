@@ -15,13 +15,14 @@ from ..functions.spans import FINDING, NONE, TIERS, entropy, find_spans, finding
 
 @dataclass(frozen=True)
 class Detector:
-    """A regex that Java, Python and RE2 read alike; ``hints`` are literals of which a text must hold one."""
+    """A regex that Java, Python and RE2 read alike. A text must hold one of the literals in ``hints`` and match ``gate``, which is cheaper."""
 
     category: str
     pattern: str
     confidence: float
     hints: tuple[str, ...] = ()
     prefix: str | None = None
+    gate: str | None = None
 
 
 # Named secrets: patterns of our own, after the public formats of the tokens. Assignments span the value alone.
@@ -37,41 +38,46 @@ SECRETS = (
     Detector("oauth_bearer_token", r"[A-Za-z0-9._~+/-]{16,}=*", 0.8, ("earer",), r"\b[Bb]earer\s+"),
     Detector("db_connection_string", r"\b(?:postgres|postgresql|mysql|mongodb|redis|amqp)(?:\+[a-z0-9]+)?://[^\s'\"<>]+", 0.9, ("://",)),
     Detector("azure_connection_string", r"DefaultEndpointsProtocol=https?;AccountName=[^;\s]+;AccountKey=[^;\s'\"]+", 0.95, ("AccountKey=",)),
-    Detector("generic_password_assignment", r"[^\s\"']{4,}", 0.75, (), r"\b(?i:password|passwd|pwd)\s*[=:]\s*[\"']?"),
-    Detector("generic_secret_assignment", r"[A-Za-z0-9+/_.=-]{8,}", 0.7, (), r"\b(?i:secret|token|api_?key|access_?key)\s*[=:]\s*[\"']?"),
+    Detector("generic_password_assignment", r"[^\s\"']{4,}", 0.75, (), r"\b(?i:password|passwd|pwd)\s*[=:]\s*[\"']?", "(?i)passw|pwd"),
+    Detector("generic_secret_assignment", r"[A-Za-z0-9+/_.=-]{8,}", 0.7, (), r"\b(?i:secret|token|api_?key|access_?key)\s*[=:]\s*[\"']?", "(?i)secret|token|key"),
 )
 # Personal data, network names and paths, with their confidences.
 VALUES = (
     Detector("email", r"\b[\w.+-]+@[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)+\b", 0.85, ("@",)),
     Detector("url", r"\bhttps?://[^\s'\"<>]+", 0.8, ("://",)),
-    Detector("ip_address", r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b", 0.8, (".",)),
-    Detector("phone", r"\b(?:\+\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", 0.55),
-    Detector("hostname", r"\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.){2,}[a-zA-Z]{2,}\b", 0.6, (".",)),
+    Detector("ip_address", r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b", 0.8, (".",), gate=r"(?U)\d\.\d"),
+    Detector("phone", r"\b(?:\+\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", 0.55, gate=r"(?U)\d{3}"),
+    Detector("hostname", r"\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.){2,}[a-zA-Z]{2,}\b", 0.6, (".",), gate=r"[a-zA-Z0-9]\.[a-zA-Z0-9]"),
     Detector("file_path", r"\b[A-Za-z]:\\(?:[^<>:\"|?*\r\n\\]+\\)*[^<>:\"|?*\r\n\\]+", 0.7, (":\\",)),
     Detector("file_path", r"(?<![\w/])/(?:home|Users|var|etc|opt|root)/[\w./-]+", 0.7, ("/home/", "/Users/", "/var/", "/etc/", "/opt/", "/root/")),
 )
 TOKEN = r"\b[A-Za-z0-9+/_=-]{20,}\b"
 #: Java's matcher recurses for each repetition of a group; texts with such long tokens or paths are matched by Python instead.
-LONG = r"(?U)[^\s]{1000,}|[^<>:\"|?*\r\n]{4000,}"
+LONG = r"(?U)(?:^|\s)[^\s]{1000,}|(?:^|[<>:\"|?*\r\n])[^<>:\"|?*\r\n]{4000,}"
 
 
-def _hinted(text: Column, hints: tuple[str, ...], spans: Column) -> Column:
-    wanted = F.lit(True)
-    for n, hint in enumerate(hints):
-        wanted = F.contains(text, F.lit(hint)) if n == 0 else wanted | F.contains(text, F.lit(hint))
-    return F.when(wanted, spans).otherwise(F.expr("CAST(array() AS array<struct<start:int,end:int,value:string>>)")) if hints else spans
+def _gated(text: Column, hints: tuple[str, ...], gate: str | None, spans: Column) -> Column:
+    """Spans only of texts that pass the cheap tests; the rest never meets the pattern."""
+    wanted = text.rlike(gate) if gate else F.lit(True)
+    if hints:
+        some = F.contains(text, F.lit(hints[0]))
+        for hint in hints[1:]:
+            some = some | F.contains(text, F.lit(hint))
+        wanted = some & wanted
+    return F.when(wanted, spans).otherwise(F.expr("CAST(array() AS array<struct<start:int,end:int,value:string>>)")) if hints or gate else spans
 
 
-def detector_columns(text: Column, settings: Settings) -> list[Column]:
+def detector_columns(text: Column, settings: Settings, only: tuple[str, ...] | None = None) -> list[Column]:
     """A column of findings for each detector that is on, in order of emission."""
     out, emit = [], 0
+    allows = lambda category: settings.allows(category) and (only is None or category in only)
     for d in SECRETS:
         emit += 1
-        if settings.allows(d.category) and d.confidence >= settings.min_confidence:
-            out.append(findings(_hinted(text, d.hints, find_spans(text, d.pattern, d.prefix)), d.category, d.confidence, "regex", emit))
+        if allows(d.category) and d.confidence >= settings.min_confidence:
+            out.append(findings(_gated(text, d.hints, d.gate, find_spans(text, d.pattern, d.prefix)), d.category, d.confidence, "regex", emit))
     emit += 1
-    if settings.allows("high_entropy_string"):
-        scored = F.transform(find_spans(text, TOKEN), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), entropy(s["value"]).alias("h")))
+    if allows("high_entropy_string"):
+        scored = F.transform(_gated(text, (), "[A-Za-z0-9+/_=-]{20,}", find_spans(text, TOKEN)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), entropy(s["value"]).alias("h")))
         scored = F.filter(scored, lambda s: s["h"] >= settings.entropy_threshold)
         sure = lambda s: F.least(F.lit(0.3) + (s["h"] - F.lit(float(settings.entropy_threshold))) * F.lit(0.1), F.lit(0.75))
         made = F.transform(scored, lambda s: F.struct(
@@ -80,8 +86,8 @@ def detector_columns(text: Column, settings: Settings) -> list[Column]:
         out.append(F.filter(made, lambda f: f["confidence"] >= settings.min_confidence))
     for d in VALUES:
         emit += 1
-        if settings.allows(d.category) and d.confidence >= settings.min_confidence:
-            spans = _hinted(text, d.hints, find_spans(text, d.pattern))
+        if allows(d.category) and d.confidence >= settings.min_confidence:
+            spans = _gated(text, d.hints, d.gate, find_spans(text, d.pattern))
             if d.category == "hostname":
                 labels = F.array(*[F.lit(x) for x in settings.hostname_labels])
                 spans = F.filter(spans, lambda s: F.arrays_overlap(F.split(F.lower(s["value"]), r"\."), labels))
@@ -89,21 +95,21 @@ def detector_columns(text: Column, settings: Settings) -> list[Column]:
     emit += 1  # the place of a name recogniser, see with_names
     for name, pattern in settings.custom_patterns.items():
         emit += 1
-        if settings.allows(name) and settings.min_confidence <= 0.9:
+        if allows(name) and settings.min_confidence <= 0.9:
             out.append(findings(find_spans(text, pattern), name, 0.9, "custom", emit))
     for term, category in settings.known_terms.items():
         emit += 1
-        if term and settings.allows(category) and settings.min_confidence <= 0.95:
-            out.append(findings(_hinted(text, (term,), find_spans(text, r"\Q" + term.replace(r"\E", r"\E\\E\Q") + r"\E")), category, 0.95, "custom", emit))
+        if term and allows(category) and settings.min_confidence <= 0.95:
+            out.append(findings(_gated(text, (term,), None, find_spans(text, r"\Q" + term.replace(r"\E", r"\E\\E\Q") + r"\E")), category, 0.95, "custom", emit))
     return out
 
 
-def python_findings(text: str, settings: Settings) -> list[tuple]:
+def python_findings(text: str, settings: Settings, only: tuple[str, ...] | None = None) -> list[tuple]:
     """The same findings by Python's ``re``, which does not recurse: for texts with very long tokens, and to test against."""
     out, emit = [], 0
 
     def add(matches, category, confidence, detector):
-        if settings.allows(category) and confidence >= settings.min_confidence:
+        if settings.allows(category) and (only is None or category in only) and confidence >= settings.min_confidence:
             out.extend((a, b, category, text[a:b], confidence, detector, TIERS[detector], emit) for a, b in matches)
 
     for d in SECRETS:
@@ -128,20 +134,20 @@ def python_findings(text: str, settings: Settings) -> list[tuple]:
     return out
 
 
-def detect(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text", merged: bool = True, guard: bool = True) -> DataFrame:
+def detect(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text", merged: bool = True, guard: bool = True, only: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` with a column ``findings``; merged, unless asked otherwise, so that none overlap.
 
     A null text has no findings. With ``guard``, texts whose tokens are so long that Java's matcher could exhaust its stack go
-    through Python; all others stay in the JVM. Detectors that the settings rule out are not in the plan.
+    through Python; all others stay in the JVM. Detectors that the settings rule out, or that are not of the categories in ``only``, are not in the plan.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    columns = detector_columns(text, settings)
+    columns = detector_columns(text, settings, only)
     native = F.concat(*columns) if columns else F.expr(NONE)
     if not guard or not columns:
         found = docs.withColumn("findings", native.cast(f"array<{FINDING}>"))
     else:
         def slow(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: [dict(zip(("start", "end", "category", "value", "confidence", "detector", "tier", "emit"), f, strict=True)) for f in python_findings(t, settings)])
+            return texts.map(lambda t: [dict(zip(("start", "end", "category", "value", "confidence", "detector", "tier", "emit"), f, strict=True)) for f in python_findings(t, settings, only)])
 
         slow_udf = F.pandas_udf(slow, f"array<{FINDING}>")
         long = text.rlike(LONG)

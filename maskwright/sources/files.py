@@ -95,8 +95,9 @@ def _as_text(rows: DataFrame) -> DataFrame:
 
 def keyword_terms(lines: DataFrame, column: str = "value") -> DataFrame:
     """``term, category``: the distinct trimmed lines of keyword lists, each an ``org``."""
-    term = F.regexp_replace(F.explode(F.split(column, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")), r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
-    return lines.select(term.alias("term")).filter("term <> ''").distinct().withColumn("category", F.lit("org"))
+    rows = lines.select(F.explode(F.split(column, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")).alias("line"))
+    term = F.regexp_replace("line", r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    return rows.select(term.alias("term")).filter("term <> ''").distinct().withColumn("category", F.lit("org"))
 
 
 def write_files(files: DataFrame, root: str, content_col: str = "content") -> None:
