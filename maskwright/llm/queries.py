@@ -88,6 +88,31 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_suffix_dedup": r"""
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents
+), w AS (
+  SELECT doc_id, p, b[p:p + 49] AS g FROM (SELECT doc_id, b, unnest(range(1, n - 48)) AS p FROM d WHERE n >= 50)
+), f AS (
+  SELECT g, min(doc_id) AS first_id FROM w GROUP BY g
+), hit AS (
+  SELECT doc_id, p, coalesce(max(p + 49) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS reach
+  FROM w JOIN f USING (g) WHERE first_id < doc_id
+), run AS (
+  SELECT doc_id, p, sum(CASE WHEN p > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM hit
+), span AS (
+  SELECT doc_id, min(p) AS s, max(p) + 49 AS e FROM run GROUP BY doc_id, r
+), gap AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) + 1 AS a, s - 1 AS z FROM span
+  UNION ALL SELECT doc_id, coalesce(e, 0) + 1, n FROM d LEFT JOIN (SELECT doc_id, max(e) AS e FROM span GROUP BY doc_id) USING (doc_id)
+), kept AS (
+  SELECT doc_id, string_agg(hex(b[a:z]), '' ORDER BY a) AS h FROM gap JOIN d USING (doc_id) WHERE z >= a GROUP BY doc_id
+), total AS (
+  SELECT doc_id, sum(e - s + 1) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
+FROM d LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
     "op1_warc": r"""
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS html FROM pages
