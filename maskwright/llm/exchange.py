@@ -29,7 +29,7 @@ def pack(rows: DataFrame, keep: Scratch, batch_bytes: int = 8 << 20, name: str =
             nonlocal seq, held, size
             table = pa.Table.from_batches(held).combine_chunks()
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
                 out.write_table(table)
             row = pa.RecordBatch.from_arrays([pa.array([first + seq], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "docs"])
             seq, held, size = seq + 1, [], 0

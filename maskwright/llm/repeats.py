@@ -157,11 +157,14 @@ def equal_groups(buf: bytes, start: np.ndarray, depth: int) -> np.ndarray:
 
 def earliest(asked: list[bytes], depth: int) -> list[bytes | None]:
     """For each batch: (string, first window, end, id) for the runs of windows that a document with that smaller id holds."""
+    import zstandard
+
     index: dict[bytes, int] = {}
     strings: list[bytes] = []
     lowest: list[int] = []
     parts = []
-    for payload in asked:
+    for packed in asked:
+        payload = zstandard.decompress(packed)
         (n,) = struct.unpack_from("<q", payload)
         least, most = np.frombuffer(payload, "<i8", 2 * n, 8).reshape(2, n)
         size = np.frombuffer(payload, "<u2", n, 8 + 16 * n)
@@ -252,15 +255,17 @@ def remove_repeats(docs: DataFrame, depth: int = 50, id_col: str = "doc_id", tex
         yield from Batch(table, depth, buckets).keys()
 
     def strings(table: pa.Table, shared: dict):
-        batch = Batch(table, depth, buckets)
+        import zstandard
+
+        batch, squeeze = Batch(table, depth, buckets), zstandard.ZstdCompressor(level=3)
         for bucket, (texts, pairs) in batch.strings(shared).items():
             pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
             head = np.flatnonzero(np.diff(np.append(-1, pairs[:, 0])))
             ids = batch.id[pairs[:, 1]]
-            yield bucket, b"".join([
+            yield bucket, squeeze.compress(b"".join([
                 struct.pack("<q", len(texts)), np.minimum.reduceat(ids, head).astype("<i8").tobytes(), np.maximum.reduceat(ids, head).astype("<i8").tobytes(),
                 np.array([len(t) for t in texts], "<u2").tobytes(), *texts,
-            ])
+            ]))
 
     def cut(batches):
         for rows in batches:
