@@ -116,15 +116,17 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
             )
 
     sample: dict[str, list] = {k: [] for k in per_label}
-    for row in drawn.mapInArrow(vectors, "label string, slots binary, tf binary, id string").orderBy(F.xxhash64("id")).limit(sample_rows).collect():
-        dense = np.zeros(dims, np.float32)
-        slots = np.frombuffer(row["slots"], "<u2")
-        dense[slots] = np.frombuffer(row["tf"], "<f4") * idf[slots]
-        if (norm := np.linalg.norm(dense)) and len(sample[row["label"]]) < each:
-            sample[row["label"]].append(dense / norm)
+    for row in drawn.mapInArrow(vectors, "label string, slots binary, tf binary, id string").orderBy(F.xxhash64("id")).limit(sample_rows).toLocalIterator():
+        if len(row["slots"]) and len(sample[row["label"]]) < each:
+            sample[row["label"]].append((bytes(row["slots"]), bytes(row["tf"])))
     centres, owner, languages = [], [], sorted(k for k, v in sample.items() if v)
     for n, language in enumerate(languages):
-        found = _cluster(np.stack(sample[language]), clusters)
+        dense = np.zeros((len(sample[language]), dims), np.float32)  # one language at a time
+        for i, (slots, tf) in enumerate(sample.pop(language)):
+            slots = np.frombuffer(slots, "<u2")
+            dense[i, slots] = np.frombuffer(tf, "<f4") * idf[slots]
+        dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
+        found = _cluster(dense, clusters)
         centres.append(found)
         owner += [n] * len(found)
     return LanguageModel(tuple(languages), np.concatenate(centres).astype(np.float32) if centres else np.zeros((0, dims), np.float32), np.array(owner, np.int64), idf, least)
