@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .config import MangleOptions, Settings
 from .functions.language import by_extension, by_looks, by_shebang
 from .functions.spans import FINDING, entropy, merge_overlaps
+from .functions.stable import spread
 from .operators import identifiers
 from .operators.detect import detect, exploded
 from .operators.replace import change_log, first_seen, number, replace_findings
@@ -30,14 +31,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _only(*categories: str, table: str = "documents", key: str = "doc_id", column: str = "text", settings: Settings = Settings()):
     """Raw findings of some categories."""
 
     def query(spark, sf_dir):
-        out = exploded(detect(_table(spark, sf_dir, table).select(key, F.col(column).alias("text")), settings, merged=False, only=categories), key)
+        out = exploded(detect(spread(_table(spark, sf_dir, table).select(key, F.col(column).alias("text"))), settings, merged=False, only=categories), key)
         return out.select(key, "category", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end_"), "value", F.round("confidence", 6).alias("confidence"))
 
     return query
@@ -64,7 +65,7 @@ CODE = [
 def language_heuristic(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").select(F.lit("pages").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
     docs = _table(spark, sf_dir, "documents").select(F.lit("documents").alias("kind"), F.col("doc_id").alias("id"), "text")
-    return pages.unionByName(docs).select("kind", "id", by_looks(F.col("text")).alias("language"))
+    return spread(pages.unionByName(docs)).select("kind", "id", by_looks(F.col("text")).alias("language"))
 
 
 def detect_entropy(spark, sf_dir):
@@ -90,7 +91,7 @@ def scan_by_category(spark, sf_dir):
 
 
 def scan_by_lang_source(spark, sf_dir):
-    return scan_counts(detect(_table(spark, sf_dir, "documents").select("lang", "source", "text")), "lang", "source")
+    return scan_counts(detect(spread(_table(spark, sf_dir, "documents").select("lang", "source", "text"))), "lang", "source")
 
 
 def gated_scan(spark, sf_dir):
