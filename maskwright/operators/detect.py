@@ -52,8 +52,9 @@ VALUES = (
     Detector("file_path", r"(?<![\w/])/(?:home|Users|var|etc|opt|root)/[\w./-]+", 0.7, ("/home/", "/Users/", "/var/", "/etc/", "/opt/", "/root/")),
 )
 TOKEN = r"\b[A-Za-z0-9+/_=-]{20,}\b"
-#: Java's matcher recurses for each repetition of a group; texts with such long tokens or paths are matched by Python instead.
-LONG = r"(?U)(?:^|\s)[^\s]{1000,}|(?:^|[<>:\"|?*\r\n])[^<>:\"|?*\r\n]{4000,}"
+#: Java's matcher recurses for each repetition of a group; texts with such long tokens, or Windows paths in such long lines, are matched by Python instead.
+LONG_TOKEN = r"(?U)(?:^|\s)[^\s]{1000,}"
+LONG_PATH = r"(?:^|[<>:\"|?*\r\n])[^<>:\"|?*\r\n]{4000,}"
 
 
 def _gated(text: Column, hints: tuple[str, ...], gate: str | None, spans: Column) -> Column:
@@ -150,7 +151,7 @@ def detect(docs: DataFrame, settings: Settings = Settings(), text_col: str = "te
             return texts.map(lambda t: [dict(zip(("start", "end", "category", "value", "confidence", "detector", "tier", "emit"), f, strict=True)) for f in python_findings(t, settings, only)])
 
         slow_udf = F.pandas_udf(slow, f"array<{FINDING}>")
-        long = text.rlike(LONG)
+        long = text.rlike(LONG_TOKEN) | (F.contains(text, F.lit(":\\")) & text.rlike(LONG_PATH))
         plain = docs.filter(~long).withColumn("findings", native.cast(f"array<{FINDING}>"))
         found = plain.unionByName(docs.filter(long).withColumn("findings", slow_udf(text)))
     return found.withColumn("findings", merge_overlaps("findings")) if merged else found
