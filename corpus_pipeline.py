@@ -21,7 +21,8 @@ N_SHARDS = 40
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labels of ``documents`` teach; what is in none of them goes."""
-    return identify(docs, fit(docs)).filter("NOT rejected").select(*docs.columns)
+    whole = docs.select("text", F.struct(*docs.columns).alias("_all"))
+    return identify(whole, fit(docs), carry=("_all",)).filter("NOT rejected").select("_all.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
