@@ -76,18 +76,18 @@ def _cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", dims: int = 4096, clusters: int = 3, sample_rows: int = 4000, least: float = 0.1) -> LanguageModel:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", dims: int = 4096, clusters: int = 3, sample_rows: int = 4000, least: float = 0.1, most_languages: int = 1000) -> LanguageModel:
     """Fit from rows with a text and a label.
 
     Document frequencies, and so the weights of all grams, come from all labelled rows: every task sums what it reads. The
     centroids are clustered on a sample of labelled rows, of at most ``sample_rows`` (the smallest seeded hashes of their ids,
-    per language alike); that bounds what the driver holds to ``sample_rows`` sparse vectors. Rows without text or label teach nothing.
+    per language alike); that bounds what the driver holds to ``sample_rows`` sparse vectors of the ``most_languages`` most frequent labels. Rows without text or label teach nothing.
     ``least`` is the cosine under which a text is rejected as in none of the languages.
     """
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).cast("binary").alias("text"))
-    per_label = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
+    per_label = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(most_languages).collect()}
     if not per_label:
         return LanguageModel((), np.zeros((0, dims), np.float32), np.zeros(0, np.int64), np.zeros(dims), least)
 

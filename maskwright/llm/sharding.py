@@ -14,10 +14,10 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
     spread. Range partitions give that order in parallel; the sums of the partitions before give each partition's
     offset in bytes and rows; a running sum inside each gives every row's place. The axis of all bytes is cut into
     ``n_shards`` equal pieces and a row goes where its middle lies. Equal texts move as one as long as together they
-    are no larger than the largest row or a hundredth of a shard, so no shard is off its target by more than that at either end.
+    are no larger than the largest row or a hundredth of a shard, and not so many as a quarter of a shard's rows and 1000, so no shard is off its target by more than that at either end.
     ``slot`` numbers the rows of a shard from 0 without gaps. The size of a null text is ``overhead`` alone, its CRC
-    that of no bytes; null ids and repeated rows are rows like others; an empty table gives no rows. A hot text is
-    cut over many range partitions by id. A ``carry`` column must not bear the name of a result column.
+    that of no bytes; null ids and repeated rows are rows like others; an empty table gives no rows. Only copies beyond
+    that are cut over many range partitions, by id. A ``carry`` column must not bear the name of a result column.
     """
     spark = docs.sparkSession
     keep = Scratch(spark, "shard")
@@ -33,9 +33,13 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
         "rows",
     )
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = keep.write(rows.repartitionByRange(parts, "_order", "doc_id").withColumn("_part", F.spark_partition_id()), "ranged")
+    total, largest, n_rows = rows.agg(F.sum("size"), F.max("size"), F.count(F.lit(1))).first()
+    total, limit = total or 1, max(largest or 0, (total or 0) // (100 * n_shards))
+    copies = rows.groupBy("_order").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_n"))
+    hot = keep.write(copies.filter((F.col("_bytes") > limit) | (F.col("_n") > n_rows / (4 * n_shards) + 1000)).select("_order", F.lit(True).alias("_hot")), "hot")
+    cut = rows.join(F.broadcast(hot), "_order", "left").withColumn("_cut", F.when(F.col("_hot"), F.col("doc_id")))  # fewer than 104 * n_shards are hot
+    ranged = keep.write(cut.repartitionByRange(parts, "_order", "_cut").drop("_hot", "_cut").withColumn("_part", F.spark_partition_id()), "ranged")
     keep.drop("rows")
-    total, largest = ranged.agg(F.sum("size"), F.max("size")).first()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = (
         ranged.groupBy("_part").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_n"))
@@ -43,7 +47,6 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
     )
     running = Window.partitionBy("_part").orderBy("_order", "doc_id")
     same = Window.partitionBy("_part", "_order")
-    total, limit = total or 1, max(largest or 0, (total or 0) // (100 * n_shards))
     placed = (
         ranged.withColumns({
             "_end": F.sum("size").over(running.rowsBetween(Window.unboundedPreceding, 0)),

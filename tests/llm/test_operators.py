@@ -183,6 +183,14 @@ def test_sharding_balance(spark):
     assert len(sizes) == 40 and max(sizes) - min(sizes) <= 2 * max(sum(sizes) // 4000, 66)
 
 
+def test_sharding_keeps_copies_together(spark):
+    rows = spark.range(6_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 600).cast("string")).alias("text"), F.lit("x").alias("_hot"))
+    rows = rows.unionByName(spark.createDataFrame([(9_000, "long " * 100, "x")], rows.schema))
+    got = shard_by_bytes(rows, 40)
+    assert got.count() == 6_001
+    assert got.groupBy("text_crc32").agg(F.countDistinct("shard").alias("n")).filter("n > 1").count() == 0
+
+
 def simhash(t):
     import xxhash
 

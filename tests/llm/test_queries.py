@@ -4,6 +4,7 @@ import os
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "..", "tools"))
 SF = "/root/testdata/sf0.001"
@@ -42,3 +43,24 @@ def test_pipeline(spark):
     assert ids(after) == set(want.values())
     assert ids(seen[4][1]) == ids(seen[4][2]) and seen[4][1].count() == seen[4][2].count()
     assert pipeline.run(spark, SF).count() == docs.count() and source.count() >= len(ids(docs))
+
+
+def test_pipeline_awkward_rows(spark):
+    """Nulls, empty texts, copies and columns named like the operators' own: every stage but the last keeps the columns."""
+    import corpus_pipeline as pipeline
+    from maskwright.llm.common import Scratch
+    from .test_operators import SCHEMA, awkward
+
+    keep, docs = Scratch(spark, "test"), spark.createDataFrame(awkward(), SCHEMA)
+    for name in ("lang_pred", "score", "rejected", "component_id", "items", "repeats", "_all"):
+        docs = docs.withColumn(name, F.lit("x"))
+    spoken = {i for i, t, *_ in awkward() if t and len(set(t.split())) > 1}  # a lone odd token may be in no language
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        out = keep.write(stage(spark, docs, SF), name)
+        if k < 4:
+            assert out.columns == docs.columns, name
+        if k == 0:
+            kept = out.select("doc_id", "text", "score").collect()
+            assert spoken <= {r.doc_id for r in kept} and all(r.text.strip() and r.score == "x" for r in kept)
+        docs = out
+    assert docs.count() > 0
