@@ -32,10 +32,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that do not hold passages of two benchmark items or more."""
+    """Documents that hold no passage of a benchmark item: no eight words of one in a row, nor a shorter one whole."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     named = docs.select("doc_id", "text", F.struct(*others).alias("_others")) if others else docs
-    found = decontaminate(named, table(spark, sf_dir, "benchmark"), carry=("text", "_others") if others else ("text",)).filter("NOT contaminated")
+    found = decontaminate(named, table(spark, sf_dir, "benchmark"), carry=("text", "_others") if others else ("text",)).filter("n_items = 0")
     return found.select(*[F.col("_others")[c].alias(c) if c in others else F.col(c) for c in docs.columns])
 
 

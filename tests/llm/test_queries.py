@@ -64,3 +64,14 @@ def test_pipeline_awkward_rows(spark):
             assert spoken <= {r.doc_id for r in kept} and all(r.text.strip() and r.score == "x" for r in kept)
         docs = out
     assert docs.count() > 0
+
+
+def test_pipeline_removes_documents_with_one_item(spark):
+    """A document that holds one benchmark item, whole or in part, goes; what only shares fewer than eight words stays."""
+    import corpus_pipeline as pipeline
+
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect() if len(r.text.split()) >= 20)
+    part = item.split()
+    texts = {1: f"some words before {item} and after", 2: item.upper(), 3: "of it " + " ".join(part[2:18]), 4: "of it " + " ".join(part[:4]) + " and no more", 5: "nothing at all", 6: None}
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in pipeline.decontamination(spark, docs, SF).collect()} == {4, 5, 6}
