@@ -14,7 +14,7 @@ from maskwright.llm.decontamination import decontaminate
 from maskwright.llm.language_id import fit, identify
 from maskwright.llm.mixing import mix_sources
 from maskwright.llm.sharding import shard_by_bytes
-from maskwright.llm.simhash import near_duplicates
+from maskwright.llm.similar import similar_texts
 
 N_SHARDS = 40
 
@@ -26,8 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; rows that repeat that id stay."""
-    kept = near_duplicates(docs).filter("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
+    """Of each group of texts linked at Jaccard 0.8 of their five-word shingles the document with the smallest id; rows that repeat that id stay."""
+    kept = similar_texts(docs).filter("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
     return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 

@@ -18,6 +18,7 @@ from maskwright.llm.maxent_lm import score_texts
 from maskwright.llm.mixing import fit_lengths, mix_sources
 from maskwright.llm.repeats import remove_repeats
 from maskwright.llm.sharding import shard_by_bytes
+from maskwright.llm.similar import similar_texts
 from maskwright.llm.simhash import fingerprint, near_duplicates
 from maskwright.llm.token_files import count_tokens, write_token_files
 from maskwright.llm.warc import read_archives, write_archives
@@ -228,6 +229,37 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [4096, 2])
+def test_similar_texts(spark, docs, empty, most):
+    """Planted near copies on either side of 0.8, chains and awkward rows, against all pairs."""
+    rng = random.Random(5)
+    texts = {i: t for i, t, *_ in awkward()}
+    for k in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 200]))]
+        for step in range(4):
+            texts[1000 + 10 * k + step] = " ".join(words).title() if step % 2 else "  ".join(words)
+            for _ in range(rng.randint(1, max(1, len(words) // 60))):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(5000)}"
+    made = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(i, t) for i, t in texts.items() if i >= 1000], "doc_id long, text string"))
+    runs = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := (t or "").casefold().split()) else frozenset() for i, t in texts.items()}
+    root = {i: i for i in runs}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sorted(runs):
+        for b in runs:
+            if b > a and 5 * len(runs[a] & runs[b]) >= 4 * len(runs[a] | runs[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = by_id(similar_texts(made, most=most))
+    assert {i: r.component_id for i, r in got.items()} == {i: find(i) for i in runs}
+    assert len({find(i) for i in runs if i >= 1000}) < 160 - 40
+    assert similar_texts(empty).count() == 0
+
+
 def test_vantage_point_trees(spark):
     """Chains and clumps of fingerprints, with trees deep enough that boundaries matter."""
     import numpy as np

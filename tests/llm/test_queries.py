@@ -75,3 +75,14 @@ def test_pipeline_removes_documents_with_one_item(spark):
     texts = {1: f"some words before {item} and after", 2: item.upper(), 3: "of it " + " ".join(part[2:18]), 4: "of it " + " ".join(part[:4]) + " and no more", 5: "nothing at all", 6: None}
     docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in pipeline.decontamination(spark, docs, SF).collect()} == {4, 5, 6}
+
+
+def test_pipeline_removes_near_copies(spark):
+    """A near copy at Jaccard 0.8 or more of five-word shingles goes however far its majority bits are; one below stays."""
+    import corpus_pipeline as pipeline
+
+    words = [f"w{k}" for k in range(204)]  # 200 shingles, of which a changed word inside takes five
+    changed = lambda n: " ".join(f"x{k}" if k % 20 == 10 and k < 20 * n else w for k, w in enumerate(words))
+    rows = [(1, changed(0)), (2, changed(4)), (3, changed(0).upper()), (4, " ".join(words[:100])), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in pipeline.near_dedup(spark, docs, SF).collect()) == [1, 4, 5]
