@@ -309,6 +309,24 @@ def test_language_id(docs, empty, spark):
     assert identify(empty, none).count() == 0
 
 
+def test_language_rejection(spark):
+    """Foreign scripts and gibberish are rejected at any length; clean texts are not, short ones neither."""
+    import base64
+
+    rng = random.Random(2)
+    parts = {"en": ["the", "er", "ing", "wh", "ou"], "fr": ["é", "eau", "que", "ou", "ai"]}
+    clean = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(2)) for _ in range(n))
+    noise = lambda first, last, n: " ".join("".join(chr(rng.randint(first, last)) for _ in range(rng.randint(3, 9))) for _ in range(n))
+    taught = [(i, clean(lang, 40), lang) for i, lang in enumerate(["en", "fr"] * 100)]
+    rows = [(1000 + i, clean(lang, n), False) for i, (lang, n) in enumerate((lang, n) for lang in parts for n in (1, 2, 5, 30, 300, 5000))]
+    scripts = [(0x430, 0x44F), (0x3B1, 0x3C9), (0x627, 0x64A), (0xE01, 0xE2E), (0xAC00, 0xD7A3), (97, 122)]
+    rows += [(2000 + i, noise(a, z, n), True) for i, ((a, z), n) in enumerate((s, n) for s in scripts for n in (30, 300, 5000))]
+    rows += [(3000, base64.b64encode(rng.randbytes(1000)).decode(), True), (3001, base64.b64encode(rng.randbytes(100_000)).decode(), True)]
+    model = fit(spark.createDataFrame(taught, "doc_id long, text string, lang string"))
+    got = by_id(identify(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), model))
+    assert {i: got[i].rejected for i, *_ in rows} == {i: bad for i, _, bad in rows}
+
+
 def test_language_model(docs, empty):
     rows = awkward()
     held_out = F.col("doc_id") % 5 == 0
