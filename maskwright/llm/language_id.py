@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import Scratch, small_batches
 
@@ -132,7 +132,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
     Document frequencies, and so the weights of all grams, come from all labelled rows: every task sums what it reads. The
     centroids are clustered on a sample of labelled rows, of at most ``sample_rows`` (the smallest seeded hashes of their ids,
-    per language alike); that bounds what the driver holds to ``sample_rows`` sparse vectors of the ``most_languages`` most frequent labels. Rows without text or label teach nothing.
+    each language its own share, so that no other label takes a rare one's rows); that bounds what the driver holds to ``sample_rows`` sparse vectors of the ``most_languages`` most frequent labels. Rows without text or label teach nothing.
     ``least`` is the cosine under which a text is rejected as in none of the languages. That cosine grows with the length of any text, so
     there is a second test: the share of 4-byte grams (hashed into 2 ** 24 slots) that two rows of the sample hold. Its cutoff, by language, is half
     the median share of every second sample row among the grams of the others; a language without such rows has none.
@@ -175,13 +175,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
             )
 
     keep = Scratch(spark, "language-sample")
-    chosen = drawn.mapInArrow(vectors, "label string, slots binary, tf binary, id string, codes array<long>, often array<long>").orderBy(F.xxhash64("id")).limit(sample_rows)
-    chosen = keep.write(chosen, "rows").withColumn("held", F.pmod(F.xxhash64("id", F.lit(43)), F.lit(2)) == 1)
+    chosen = drawn.mapInArrow(vectors, "label string, slots binary, tf binary, id string, codes array<long>, often array<long>").filter(F.length("slots") > 0)
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "slots"))  # of about 1.1 * each rows a label
+    chosen = keep.write(chosen.withColumn("place", place).filter(F.col("place") <= each).drop("place"), "rows").withColumn("held", F.pmod(F.xxhash64("id", F.lit(43)), F.lit(2)) == 1)
     known, cutoff = _familiar(chosen)
     sample: dict[str, list] = {k: [] for k in per_label}
     for row in chosen.select("label", "slots", "tf", "id").orderBy(F.xxhash64("id")).toLocalIterator():
-        if len(row["slots"]) and len(sample[row["label"]]) < each:
-            sample[row["label"]].append((bytes(row["slots"]), bytes(row["tf"])))
+        sample[row["label"]].append((bytes(row["slots"]), bytes(row["tf"])))
     centres, owner, languages = [], [], sorted(k for k, v in sample.items() if v)
     for n, language in enumerate(languages):
         dense = np.zeros((len(sample[language]), dims), np.float32)  # one language at a time

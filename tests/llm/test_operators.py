@@ -309,6 +309,15 @@ def test_language_id(docs, empty, spark):
     assert identify(empty, none).count() == 0
 
 
+def test_language_sample_keeps_rare_labels(spark):
+    """A label of one document is learned beside abundant ones, also where its id comes last in the order of the sample."""
+    rng = random.Random(4)
+    rows = [(i, " ".join("".join(rng.choice(["the", "er", "ing"]) for _ in range(3)) for _ in range(6)), f"main{i % 30}") for i in range(1320)]
+    last = spark.range(5000, 9000).orderBy(F.xxhash64(F.col("id").cast("string")).desc()).first()["id"]
+    model = fit(spark.createDataFrame([*rows, (last, "ouou quai eau", "rare")], "doc_id long, text string, lang string"), sample_rows=620)
+    assert len(model.languages) == 31 and "rare" in model.languages
+
+
 def test_language_rejection(spark):
     """Foreign scripts and gibberish are rejected at any length; clean texts are not, short ones neither."""
     import base64
