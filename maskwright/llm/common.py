@@ -10,6 +10,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 ARROW_BYTES = 16 << 20
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir`` as a full URI, so that Spark and Arrow open the same place. Only a local session may go without."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        sc.setCheckpointDir(f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
+        base = sc.getCheckpointDir()
+    path = sc._jvm.org.apache.hadoop.fs.Path(base)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
 class Scratch:
     """Tables written under the cluster's shared checkpoint folder.
 
@@ -18,12 +31,8 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-            spark.sparkContext.setCheckpointDir(base)
         self.spark = spark
-        self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 
     def path(self, name: str) -> str:

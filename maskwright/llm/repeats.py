@@ -5,6 +5,9 @@ are exactly the repeated windows. To order them in parallel, windows meet in the
 inside them (a property of the window's bytes alone, so equal windows always meet), and runs of neighbouring windows
 with the same smallest gram travel as one string. A first round finds the grams that only one document has; windows
 around those can't repeat and stay at home.
+
+Texts longer than a batch are cut into pieces that each hold the windows that begin in them, so no worker holds more
+than a batch of windows; only their spans and bytes meet again at the end.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -20,6 +24,7 @@ from .exchange import answer, ask, deliver, pack, unpack
 
 _GRAM = 24
 _PIECE = 1 << 19
+_SECTIONS = 16  # of a bucket, by the top bits of a gram's hash: what is sorted at once
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -36,7 +41,9 @@ class Runs:
         self.depth = depth
         total, width = len(buf), depth - _GRAM + 1
         begin = np.maximum(off[:-1], off[1:] - (depth - 1))  # from here to their document's end, starts are too near it
-        usable = np.cumsum(np.bincount(begin, minlength=total + 1) - np.bincount(off[1:], minlength=total + 1))[:total] == 0
+        usable = np.ones(total, bool)
+        for a, b in zip(begin.tolist(), off[1:].tolist(), strict=True):
+            usable[a:b] = False
         words = _loads(buf + bytes(depth + 8))
         parts = []
         for a in range(0, total, _PIECE):
@@ -103,21 +110,26 @@ class Batch:
         for bucket, (a, b) in self.at.items():
             yield bucket, rest[a:b].tobytes() + several[a:b].tobytes()
 
-    def strings(self, shared: dict[int, bytes]) -> dict[int, tuple[list[bytes], np.ndarray]]:
-        """By bucket: the distinct strings of runs around shared grams, in order of appearance, and (string, run) for each run."""
+    def strings(self, shared: dict[int, bytes]) -> dict[int, tuple[list[bytes], np.ndarray, list[int]]]:
+        """By bucket: the distinct strings of runs around shared grams, (string, run) for each run, and how many strings each section has."""
         wanted = np.zeros(len(self.unique), bool)
         for bucket, bits in shared.items():
             a, b = self.at[bucket]
             wanted[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
         runs = np.flatnonzero(wanted[self.which]) if len(self.which) else np.zeros(0, np.int64)
-        out: dict[int, tuple[dict, list]] = {}
-        for r, s, n, bucket in zip(runs.tolist(), self.start[runs].tolist(), self.n[runs].tolist(), self.bucket[runs].tolist(), strict=True):
+        section = (self.code[runs] & np.uint64(0xFFFFFFFF)) // np.uint64((1 << 32) // _SECTIONS)
+        order = np.lexsort((section, self.bucket[runs]))
+        runs, section = runs[order], section[order].astype(np.int64)
+        out: dict[int, tuple[dict, list, list[int]]] = {}
+        for r, s, n, bucket, part in zip(runs.tolist(), self.start[runs].tolist(), self.n[runs].tolist(), self.bucket[runs].tolist(), section.tolist(), strict=True):
             got = out.get(bucket)
             if got is None:
-                got = out[bucket] = ({}, [])
+                got = out[bucket] = ({}, [], [0] * _SECTIONS)
             string = self.buf[s : s + n + self.depth - 1]
-            got[1].append((got[0].setdefault(string, len(got[0])), r))
-        return {bucket: (list(strings), np.array(pairs, np.int64)) for bucket, (strings, pairs) in out.items()}
+            seen = len(got[0])
+            got[1].append((got[0].setdefault(string, seen), r))
+            got[2][part] += len(got[0]) - seen
+        return {bucket: (list(strings), np.array(pairs, np.int64), parts) for bucket, (strings, pairs, parts) in out.items()}
 
 
 def shared_grams(asked: list[bytes]) -> list[bytes]:
@@ -155,38 +167,36 @@ def equal_groups(buf: bytes, start: np.ndarray, depth: int) -> np.ndarray:
     return group
 
 
-def earliest(asked: list[bytes], depth: int) -> list[bytes | None]:
-    """For each batch: (string, first window, end, id) for the runs of windows that a document with that smaller id holds."""
-    import zstandard
+def _pack_strings(strings: list[bytes], least: np.ndarray, most: np.ndarray, parts: list[int]) -> bytes:
+    """Strings by section, with the smallest and the largest id that has each."""
+    size = np.array([len(t) for t in strings], "<u2")
+    return b"".join([struct.pack("<q", len(strings)), np.array(parts, "<u4").tobytes(), least.astype("<i8").tobytes(), most.astype("<i8").tobytes(), size.tobytes(), *strings])
 
+
+def _lowest(held: list[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, int]], depth: int) -> list[tuple[np.ndarray, ...]]:
+    """For each message of a section, (id, string, first window, end) of the runs of windows that a smaller id than the string's largest holds."""
     index: dict[bytes, int] = {}
-    strings: list[bytes] = []
     lowest: list[int] = []
-    parts = []
-    for packed in asked:
-        payload = zstandard.decompress(packed)
-        (n,) = struct.unpack_from("<q", payload)
-        least, most = np.frombuffer(payload, "<i8", 2 * n, 8).reshape(2, n)
-        size = np.frombuffer(payload, "<u2", n, 8 + 16 * n)
-        at, mine = 8 + 18 * n, np.zeros(n, np.int64)
+    mine = []
+    for raw, size, least, _, at in held:
+        which = np.zeros(len(size), np.int64)
         for j, (length, low) in enumerate(zip(size.tolist(), least.tolist(), strict=True)):
-            string = payload[at : at + length]
+            k = index.setdefault(raw[at : at + length], len(lowest))
             at += length
-            k = index.get(string)
-            if k is None:
-                k = index[string] = len(strings)
-                strings.append(string)
+            if k == len(lowest):
                 lowest.append(low)
             elif low < lowest[k]:
                 lowest[k] = low
-            mine[j] = k
-        parts.append((mine, most))
-    length = np.array([len(s) for s in strings], np.int64)
+            which[j] = k
+        mine.append(which)
+    if not lowest:
+        return [(np.zeros(0, np.int64),) * 4 for _ in held]
+    length = np.array([len(t) for t in index], np.int64)
     n = length - depth + 1
     begin = np.cumsum(length) - length
-    own = np.repeat(np.arange(len(strings)), n)
+    own = np.repeat(np.arange(len(n)), n)
     inside = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-    group = equal_groups(b"".join(strings), begin[own] + inside, depth)
+    group = equal_groups(b"".join(index), begin[own] + inside, depth)
     low = np.array(lowest, np.int64)
     order = np.argsort(group, kind="stable")
     head = np.flatnonzero(np.diff(np.append(-1, group[order])))
@@ -196,19 +206,44 @@ def earliest(asked: list[bytes], depth: int) -> list[bytes | None]:
     new[1:] = (own[1:] != own[:-1]) | (best[1:] != best[:-1])
     head = np.flatnonzero(new)
     end = inside[np.append(head[1:], len(own)) - 1] + 1
-    first, low_of, count = inside[head], best[head], np.bincount(own[head], minlength=len(strings))
+    first, low_of, count = inside[head], best[head], np.bincount(own[head], minlength=len(n))
     place = np.cumsum(count) - count
-    out: list[bytes | None] = []
-    for mine, most in parts:
-        many = count[mine]
-        string = np.repeat(np.arange(len(mine)), many)
-        run = np.repeat(place[mine] - (np.cumsum(many) - many), many) + np.arange(len(string))
+    out = []
+    for which, (_, _, _, most, _) in zip(mine, held, strict=True):
+        many = count[which]
+        string = np.repeat(np.arange(len(which)), many)
+        run = np.repeat(place[which] - (np.cumsum(many) - many), many) + np.arange(len(string))
         hit = low_of[run] < most[string]
-        string, run = string[hit], run[hit]
-        out.append(struct.pack("<q", len(run)) + low_of[run].astype("<i8").tobytes() + string.astype("<u4").tobytes() + first[run].astype("<u2").tobytes() + end[run].astype("<u2").tobytes() if len(run) else None)
+        out.append((low_of[run[hit]], string[hit], first[run[hit]], end[run[hit]]))
     return out
 
 
+def earliest(asked: list[bytes], depth: int) -> list[bytes | None]:
+    """For each batch: (id, string, first window, end) for the runs of windows that a document with that smaller id holds; a section is sorted at a time."""
+    import zstandard
+
+    opened = []
+    for packed in asked:
+        raw = zstandard.decompress(packed)
+        (n,) = struct.unpack_from("<q", raw)
+        at = 8 + 4 * _SECTIONS
+        edge = np.concatenate(([0], np.cumsum(np.frombuffer(raw, "<u4", _SECTIONS, 8)))).astype(np.int64)
+        least, most, size = np.frombuffer(raw, "<i8", n, at), np.frombuffer(raw, "<i8", n, at + 8 * n), np.frombuffer(raw, "<u2", n, at + 16 * n)
+        begin = at + 18 * n + np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        opened.append((raw, edge, least, most, size, begin[edge].tolist()))
+    found: list[list[tuple[np.ndarray, ...]]] = [[] for _ in asked]
+    for part in range(_SECTIONS):
+        held = [(raw, size[e[part] : e[part + 1]], least[e[part] : e[part + 1]], most[e[part] : e[part + 1]], at[part]) for raw, e, least, most, size, at in opened]
+        for out, (low, string, first, end), (_, e, *_) in zip(found, _lowest(held, depth), opened, strict=True):
+            if len(low):
+                out.append((low, string + e[part], first, end))
+    made: list[bytes | None] = []
+    for out in found:
+        low, string, first, end = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+        made.append(struct.pack("<q", len(low)) + low.astype("<i8").tobytes() + string.astype("<u4").tobytes() + first.astype("<u2").tobytes() + end.astype("<u2").tobytes() if len(low) else None)
+    return made
+
+
 def covered(batch: Batch, shared: dict[int, bytes], found: dict[int, bytes]) -> np.ndarray:
     """Which bytes of a batch lie in a window that an earlier document holds."""
     begins, ends = [], []
@@ -229,11 +264,39 @@ def covered(batch: Batch, shared: dict[int, bytes], found: dict[int, bytes]) ->
         run, which = run[later], which[later]
         begins.append(batch.start[run] + first[which])
         ends.append(batch.start[run] + end[which] + batch.depth - 1)
-    total = len(batch.buf)
-    if not begins:
-        return np.zeros(total, bool)
-    level = np.bincount(np.concatenate(begins), minlength=total + 1) - np.bincount(np.concatenate(ends), minlength=total + 1)
-    return np.cumsum(level)[:total] > 0
+    gone = np.zeros(len(batch.buf) + 1, np.int8)
+    if begins:
+        begin, end = np.concatenate(begins), np.concatenate(ends)
+        order = np.argsort(begin, kind="stable")
+        begin, end = begin[order], np.maximum.accumulate(end[order])
+        new = np.ones(len(begin), bool)
+        new[1:] = begin[1:] > end[:-1]
+        head = np.flatnonzero(new)
+        gone[begin[head]] = 1
+        gone[end[np.append(head[1:], len(end)) - 1]] = -1  # merged runs never touch, so no place is set twice
+        np.cumsum(gone, out=gone)
+    return gone[:-1].view(bool)
+
+
+def _spans(gone: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(gone.view(np.int8), prepend=np.int8(0), append=np.int8(0))).tolist()
+    return list(zip(edge[::2], edge[1::2], strict=True))
+
+
+_CUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _rejoin(group: pd.DataFrame) -> pd.DataFrame:
+    """A document of its pieces: their spans united over the places where they overlap, and what is left of the text."""
+    group = group.sort_values("at")
+    text = b"".join(bytes(p)[:n] for p, n in zip(group["piece"], group["own"], strict=True))
+    gone = np.zeros(len(text), bool)
+    for at, spans in zip(group["at"], group["spans"], strict=True):
+        for span in spans:
+            gone[at + span["start"] : at + span["end"]] = True
+    spans = [{"start": a, "end": b} for a, b in _spans(gone)]
+    return pd.DataFrame({"doc_id": group["doc_id"].iloc[:1].astype("Int64"), "n_bytes": [len(text)], "n_removed": [int(gone.sum())], "spans": [spans], "kept": [np.frombuffer(text, np.uint8)[~gone].tobytes()]})
 
 
 def remove_repeats(docs: DataFrame, depth: int = 50, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 8 << 20) -> DataFrame:
@@ -243,13 +306,26 @@ def remove_repeats(docs: DataFrame, depth: int = 50, id_col: str = "doc_id", tex
     least) that also starts in a document with a smaller id; all strings are judged on the input and none crosses documents. ``spans`` are
     the maximal removed runs as byte offsets, ``kept`` the other bytes (which need not be valid UTF-8). Equal ids are not smaller
     than each other; a row with a null id loses nothing and takes nothing. An empty table gives no rows.
+
+    A worker holds one batch of ``batch_bytes`` at a time, at about 14 bytes of memory for each. A longer text is cut into
+    pieces of half a batch, which overlap by a window; only when its parts are joined at the end does one worker hold it
+    whole, at about four bytes for each. Columns beside id and text are ignored, whatever their names.
     """
     if depth < 32:
         raise ValueError("depth is 32 bytes at least")
     spark = docs.sparkSession
     keep = Scratch(spark, "repeats")
-    packed = pack(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")), keep, batch_bytes)
-    buckets = bucket_count(spark, packed.count(), 1)
+    half = batch_bytes // 2
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    long = F.octet_length("text") > batch_bytes
+    whole = pack(rows.filter(~long), keep, batch_bytes)
+    at = F.explode(F.sequence(F.lit(0), F.octet_length("text") - 1, F.lit(half)))
+    pieces = rows.filter(long).withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "text", at.alias("at"))
+    pieces = pieces.select("doc_id", "row", "at", F.substring("text", F.col("at") + 1, F.lit(half + depth - 1)).alias("text"))
+    pieces = pack(pieces, keep, batch_bytes, "pieces").withColumn("batch", F.col("batch") + (1 << 60))
+    n_pieces = pieces.count()
+    packed = whole.unionByName(pieces) if n_pieces else whole
+    buckets = bucket_count(spark, whole.count() + n_pieces, 4)
 
     def grams(table: pa.Table, _: dict):
         yield from Batch(table, depth, buckets).keys()
@@ -258,38 +334,50 @@ def remove_repeats(docs: DataFrame, depth: int = 50, id_col: str = "doc_id", tex
         import zstandard
 
         batch, squeeze = Batch(table, depth, buckets), zstandard.ZstdCompressor(level=3)
-        for bucket, (texts, pairs) in batch.strings(shared).items():
+        for bucket, (texts, pairs, parts) in batch.strings(shared).items():
             pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
             head = np.flatnonzero(np.diff(np.append(-1, pairs[:, 0])))
             ids = batch.id[pairs[:, 1]]
-            yield bucket, squeeze.compress(b"".join([
-                struct.pack("<q", len(texts)), np.minimum.reduceat(ids, head).astype("<i8").tobytes(), np.maximum.reduceat(ids, head).astype("<i8").tobytes(),
-                np.array([len(t) for t in texts], "<u2").tobytes(), *texts,
-            ]))
+            yield bucket, squeeze.compress(_pack_strings(texts, np.minimum.reduceat(ids, head), np.maximum.reduceat(ids, head), parts))
+
+    def judged(rows):
+        """Each batch with the bytes of it that go."""
+        for i in range(len(rows)):
+            table = unpack(rows.column("docs")[i].as_py())
+            batch = Batch(table, depth, buckets)
+            shared, found = ({a["bucket"]: a["payload"] for a in rows.column(c)[i].as_py() or ()} for c in ("answers", "found"))
+            yield table, batch, covered(batch, shared, found)
 
     def cut(batches):
         for rows in batches:
-            for i in range(len(rows)):
-                table = unpack(rows.column("docs")[i].as_py())
-                batch = Batch(table, depth, buckets)
-                shared, found = ({a["bucket"]: a["payload"] for a in rows.column(c)[i].as_py() or ()} for c in ("answers", "found"))
-                gone = covered(batch, shared, found)
+            for table, batch, gone in judged(rows):
                 n_bytes, n_removed, spans, kept = [], [], [], []
                 data = np.frombuffer(batch.buf, np.uint8)
                 for a, b in zip(batch.off[:-1].tolist(), batch.off[1:].tolist(), strict=True):
                     own = gone[a:b]
                     n_bytes.append(b - a)
-                    n_removed.append(removed := int(own.sum()))
-                    edge = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).astype(np.int8))).tolist() if removed else []
-                    spans.append([{"start": s, "end": e} for s, e in zip(edge[::2], edge[1::2], strict=True)])
+                    n_removed.append(removed := int(np.count_nonzero(own)))
+                    spans.append([{"start": s, "end": e} for s, e in _spans(own)] if removed else [])
                     kept.append(data[a:b][~own].tobytes() if removed else batch.buf[a:b])
+                yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, _SPAN), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+
+    def cut_pieces(batches):
+        for rows in batches:
+            for table, batch, gone in judged(rows):
+                spans = [[{"start": s, "end": e} for s, e in _spans(gone[a:b])] for a, b in zip(batch.off[:-1].tolist(), batch.off[1:].tolist(), strict=True)]
+                own = np.minimum(np.diff(batch.off), half)
                 yield pa.RecordBatch.from_arrays(
-                    [table.column("doc_id").combine_chunks(), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-                    ["doc_id", "n_bytes", "n_removed", "spans", "kept"],
+                    [*(table.column(c).combine_chunks() for c in ("doc_id", "row", "at")), pa.array(own, pa.int64()), pa.array(spans, _SPAN), table.column("text").combine_chunks()],
+                    ["doc_id", "row", "at", "own", "spans", "piece"],
                 )
 
     shared = keep.write(answer(ask(packed, grams), shared_grams), "shared")
     free_shuffles(spark)
     found = keep.write(answer(ask(deliver(packed, shared), strings), lambda asked: earliest(asked, depth)), "found")
     free_shuffles(spark)
-    return deliver(deliver(packed, shared), found, "found").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    done = lambda batches: deliver(deliver(batches, shared), found, "found")
+    out = done(whole).mapInArrow(cut, _CUT)
+    if n_pieces:
+        parts = done(pieces).mapInArrow(cut_pieces, "doc_id long, row long, at int, own long, spans array<struct<start:long,end:long>>, piece binary")
+        out = out.unionByName(parts.groupBy("row").applyInPandas(_rejoin, _CUT))
+    return out

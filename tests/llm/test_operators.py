@@ -92,6 +92,19 @@ def test_repeats(docs, batch_bytes):
         assert sum(s.end - s.start for s in r.spans) == r.n_removed and all(not gone[s.start - 1] for s in r.spans if s.start)
 
 
+def test_repeats_of_one_text_of_64_mb(spark):
+    """A text far beyond a batch goes through in pieces; a passage of it that an earlier document holds is found across their edges."""
+    n, passage = 64 << 20, "".join(chr(97 + (k * k + k // 7) % 26) for k in range(5000))
+    rng = random.Random(9)
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=1 << 20))
+    at = (4 << 20) - 2500  # over the edge of the first piece
+    body = "".join(f"{k:08d}{long[k % 977 : k % 977 + 16]}" for k in range(n // 24))
+    rows = spark.createDataFrame([(1, passage), (2, body[:at] + passage + body[at:]), (3, passage[:49])], "doc_id long, text string")
+    got = by_id(remove_repeats(rows))
+    assert [(s.start, s.end) for s in got[2].spans] == [(at, at + 5000)] and got[2].n_bytes == len(body) + 5000
+    assert bytes(got[2].kept) == body.encode() and got[1].n_removed == got[3].n_removed == 0
+
+
 def test_repeats_ids(spark, empty):
     t = "abcdefghij" * 6
     got = remove_repeats(spark.createDataFrame([(None, t), (5, t), (5, t), (6, t)], "doc_id long, text string")).collect()
