@@ -13,6 +13,7 @@ than a batch of windows; only their spans and bytes meet again at the end.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -110,26 +111,24 @@ class Batch:
         for bucket, (a, b) in self.at.items():
             yield bucket, rest[a:b].tobytes() + several[a:b].tobytes()
 
-    def strings(self, shared: dict[int, bytes]) -> dict[int, tuple[list[bytes], np.ndarray, list[int]]]:
-        """By bucket: the distinct strings of runs around shared grams, (string, run) for each run, and how many strings each section has."""
+    def strings(self, shared: dict[int, bytes]) -> Iterator[tuple[int, list[bytes], np.ndarray, list[int]]]:
+        """Bucket by bucket: the distinct strings of runs around shared grams by section, (string, run) for each run, and how many strings each section has."""
         wanted = np.zeros(len(self.unique), bool)
         for bucket, bits in shared.items():
             a, b = self.at[bucket]
             wanted[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
         runs = np.flatnonzero(wanted[self.which]) if len(self.which) else np.zeros(0, np.int64)
-        section = (self.code[runs] & np.uint64(0xFFFFFFFF)) // np.uint64((1 << 32) // _SECTIONS)
-        order = np.lexsort((section, self.bucket[runs]))
-        runs, section = runs[order], section[order].astype(np.int64)
-        out: dict[int, tuple[dict, list, list[int]]] = {}
-        for r, s, n, bucket, part in zip(runs.tolist(), self.start[runs].tolist(), self.n[runs].tolist(), self.bucket[runs].tolist(), section.tolist(), strict=True):
-            got = out.get(bucket)
-            if got is None:
-                got = out[bucket] = ({}, [], [0] * _SECTIONS)
-            string = self.buf[s : s + n + self.depth - 1]
-            seen = len(got[0])
-            got[1].append((got[0].setdefault(string, seen), r))
-            got[2][part] += len(got[0]) - seen
-        return {bucket: (list(strings), np.array(pairs, np.int64), parts) for bucket, (strings, pairs, parts) in out.items()}
+        section = ((self.code[runs] & np.uint64(0xFFFFFFFF)) // np.uint64((1 << 32) // _SECTIONS)).astype(np.int64)
+        order = np.argsort(self.bucket[runs] * _SECTIONS + section, kind="stable")
+        runs, section = runs[order], section[order]
+        head = np.flatnonzero(np.diff(np.append(-1, self.bucket[runs])))
+        for a, b in zip(head.tolist(), np.append(head[1:], len(runs)).tolist(), strict=False):  # no head, no bucket
+            mine, index, which, parts = runs[a:b], {}, [], [0] * _SECTIONS
+            for s, n, part in zip(self.start[mine].tolist(), self.n[mine].tolist(), section[a:b].tolist(), strict=True):
+                seen = len(index)
+                which.append(index.setdefault(self.buf[s : s + n + self.depth - 1], seen))
+                parts[part] += len(index) - seen
+            yield int(self.bucket[mine[0]]), list(index), np.stack([np.array(which, np.int64), mine], axis=1), parts
 
 
 def shared_grams(asked: list[bytes]) -> list[bytes]:
@@ -247,13 +246,12 @@ def earliest(asked: list[bytes], depth: int) -> list[bytes | None]:
 def covered(batch: Batch, shared: dict[int, bytes], found: dict[int, bytes]) -> np.ndarray:
     """Which bytes of a batch lie in a window that an earlier document holds."""
     begins, ends = [], []
-    strings = batch.strings({b: shared[b] for b in found})
-    for bucket, payload in found.items():
+    for bucket, _, pairs, _ in batch.strings({b: shared[b] for b in found}):
+        payload = found[bucket]
         (n,) = struct.unpack_from("<q", payload)
         low = np.frombuffer(payload, "<i8", n, 8)
         string = np.frombuffer(payload, "<u4", n, 8 + 8 * n).astype(np.int64)
         first, end = np.frombuffer(payload, "<u2", 2 * n, 8 + 12 * n).reshape(2, n).astype(np.int64)
-        pairs = strings[bucket][1]
         pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
         count = np.bincount(pairs[:, 0], minlength=int(string.max()) + 1)
         place = np.cumsum(count) - count
@@ -334,7 +332,7 @@ def remove_repeats(docs: DataFrame, depth: int = 50, id_col: str = "doc_id", tex
         import zstandard
 
         batch, squeeze = Batch(table, depth, buckets), zstandard.ZstdCompressor(level=3)
-        for bucket, (texts, pairs, parts) in batch.strings(shared).items():
+        for bucket, texts, pairs, parts in batch.strings(shared):
             pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
             head = np.flatnonzero(np.diff(np.append(-1, pairs[:, 0])))
             ids = batch.id[pairs[:, 1]]
