@@ -1,4 +1,9 @@
-"""Near duplicates by shingles: candidates from banded minima, each pair then held to its exact Jaccard similarity."""
+"""SimHash near-duplicates at a shingle similarity: candidates, each then held to its exact Jaccard similarity.
+
+Candidates are what the vantage-point trees over fingerprints link. Majority fingerprints of texts at similarity 0.8 differ in
+about 10 of 64 bits, too many for any radius that a tree can prune, so texts also become candidates where a band of minima
+of their shingles agrees; that finds what the fingerprints leave out.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch, free_shuffles, small_batches
 from .components import components
+from .simhash import fingerprint, link
 
 _PIECE = 1 << 20
 _SPACE = re.compile(rb"[ \t-\r]")
@@ -77,13 +83,15 @@ def _linked(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     return links
 
 
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, most: int = 4096) -> DataFrame:
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 4, most: int = 4096, most_bytes: int = 32 << 20) -> DataFrame:
     """One row per input row: ``doc_id, component_id``, the smallest id reachable over texts whose sets of ``words``-word shingles have Jaccard similarity ``least`` or more.
 
-    Texts with equal sets meet as one before any search. Others become candidates where a band of minima agrees, and only pairs
-    whose sets, read whole, reach ``least`` are links. A bucket of more than ``most`` texts is searched as pairs of
-    pieces of that size, so a worker holds at most two pieces and still every pair of a bucket meets. Texts without
-    words are equal to each other and similar to nothing else; null ids never name a component unless all its ids are null.
+    Texts with equal sets meet as one before any search. Others become candidates where their fingerprints are linked within
+    ``radius`` bits or a band of minima agrees, and only pairs whose sets, read whole, reach ``least`` are links. A
+    bucket of more than ``most`` texts or ``most_bytes`` of shingles is dealt into pieces by hash and searched as pairs of
+    pieces, so a worker holds about two pieces and still every pair of a bucket meets. Texts without
+    words are equal to each other and similar to nothing else; null ids never name a component unless all its ids are null; a
+    very long text is hashed piece by piece, at 8 bytes a word. An empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -95,13 +103,15 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         import xxhash
 
         for batch in batches:
-            same, keys = [], []
+            same, sizes, keys, fps = [], [], [], []
             for text in batch.column("_text").to_pylist():
                 codes = shingles(text, words)
                 same.append(xxhash.xxh64_intdigest(codes.tobytes()))
+                sizes.append(len(codes))
                 keys.append(bands(codes))
-            made = [pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *made], ["doc_id", "text_hash", "same", "keys"])
+                fps.append(fingerprint(text, words))
+            same, fps = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (same, fps))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), same, pa.array(sizes, pa.int64()), fps, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "same", "n", "fp", "keys"])
 
     def read(batches):
         for batch in batches:
@@ -112,15 +122,21 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         links = _linked([np.frombuffer(c, np.uint64) for c in group["codes"]], least)
         return pd.DataFrame({"u": names[[a for a, _ in links]], "v": names[[b for _, b in links]]}, dtype=np.int64)
 
-    own = keep.write(rows.mapInArrow(scan, f"doc_id {id_type}, text_hash long, same long, keys array<long>"), "own")
-    distinct = keep.write(own.groupBy("same").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("reader"), F.first("keys").alias("keys")), "distinct")
-    met = distinct.select("same", F.explode("keys").alias("key")).groupBy("key").agg(F.sort_array(F.collect_list("same")).alias("of")).filter(F.size("of") > 1)
-    met = met.select(F.xxhash64("of").alias("bucket"), "of").dropDuplicates(["bucket"])  # most pairs share several bands
-    pieces, own_piece = F.ceil(F.size("of") / most), F.floor(F.col("at") / most)
-    dealt = met.select("bucket", pieces.alias("pieces"), F.posexplode("of").alias("at", "same")).select(
-        "bucket", "same", own_piece.alias("piece"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("other"), "pieces"
-    ).filter("pieces = 1 OR piece <> other")
-    dealt = keep.write(dealt.select(F.xxhash64("bucket", F.least("piece", "other"), F.greatest("piece", "other")).alias("bucket"), "same"), "dealt")
+    own = keep.write(rows.mapInArrow(scan, f"doc_id {id_type}, text_hash long, same long, n long, fp long, keys array<long>"), "own")
+    distinct = keep.write(own.groupBy("same").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("reader"), F.max("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "distinct")
+    worded = distinct.filter("n > 0")
+    near = components(keep.write(link(worded.select("fp").distinct(), keep, radius), "near"), keep, "near-cc")
+    worded = worded.join(near.hint("merge"), F.col("fp") == F.col("node"), "left")
+    keys = F.array_append("keys", F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp")))
+    met = keep.write(worded.select("same", "n", F.explode(keys).alias("key")), "met")
+    # buckets of the same texts are searched once: most pairs share several bands
+    buckets = met.groupBy("key").agg(F.count(F.lit(1)).alias("of"), F.sum("n").alias("n"), F.sum(F.xxhash64("same").cast("decimal(38,0)")).alias("sign")).filter("of > 1")
+    buckets = buckets.groupBy("of", "n", "sign").agg(F.min("key").alias("key"))
+    buckets = keep.write(buckets.select("key", F.greatest(F.ceil(F.col("of") / most), F.ceil(8 * F.col("n") / most_bytes)).cast("long").alias("pieces")), "buckets")
+    dealt = met.join(buckets.hint("merge"), "key").select("key", "same", "pieces", F.pmod(F.xxhash64("same"), "pieces").alias("piece"))
+    dealt = dealt.select("key", "same", "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("other"), "pieces").filter("pieces = 1 OR piece <> other")
+    dealt = keep.write(dealt.select(F.xxhash64("key", F.least("piece", "other"), F.greatest("piece", "other")).alias("bucket"), "same"), "dealt")
+    keep.drop("met", "buckets")
     needed = dealt.select("same").distinct().join(distinct.select("same", "reader").hint("merge"), "same").select("same", F.col("reader.doc_id").alias("reader"), "reader.text_hash")
     texts = rows.join(needed.hint("merge"), rows["doc_id"].eqNullSafe(needed["reader"]) & (rows["text_hash"] == needed["text_hash"])).select("same", "_text")
     sets = keep.write(texts.mapInArrow(read, "same long, codes binary").dropDuplicates(["same"]), "sets")

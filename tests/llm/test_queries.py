@@ -1,13 +1,18 @@
 """Registered queries against their SQL, and the pipeline stage by stage, on the smallest tables."""
 
+import itertools
 import os
+import re
 import sys
+import zlib
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "..", "tools"))
 SF = "/root/testdata/sf0.001"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 
 
@@ -22,27 +27,82 @@ def test_same_as_sql(spark, name):
     assert compare.canon(df.columns, df.collect()) == compare.canon(columns, want.fetchall())
 
 
+def targets(size, source):
+    """Brute force: weights 3, 1, 2, repeating, share 150 % of all sizes, none above twice its source."""
+    have = Counter()
+    for i, n in size.items():
+        have[source[i]] += n
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(have, key=lambda s: (s is None, s or "")))}
+    out, left = {}, 1.5 * sum(have.values())
+    while True:
+        free = [s for s in have if s not in out]
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 2 * have[s]]
+        if not over:
+            return {**out, **share}
+        for s in over:
+            out[s] = 2.0 * have[s]
+            left -= out[s]
+
+
+def words_of(text):
+    return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (text or "").translate(LOWER))
+
+
+def similar_components(texts, least=0.8, words=5):
+    """Brute force: components over all pairs at Jaccard ``least`` of sets of case-folded ``words``-word shingles."""
+    sets = {i: (lambda w: frozenset(tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))) if w else frozenset())((t or "").casefold().split()) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(texts), 2):
+        if sets[a] == sets[b] or sets[a] and sets[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: find(i) for i in texts}
+
+
 def test_pipeline(spark):
+    """Every stage against what it is to do with what its predecessor kept."""
     import corpus_pipeline as pipeline
     from maskwright.llm.common import Scratch
-    from .test_operators import clusters, simhash
 
     keep, docs = Scratch(spark, "test"), spark.read.parquet(f"{SF}/documents.parquet")
-    source, seen = docs, []
+    seen = []
     for name, stage in pipeline.STAGES:
         out = keep.write(stage(spark, docs, SF), name)
-        seen.append((name, docs, out))
+        seen.append(({r.doc_id: r.text for r in docs.collect()}, docs, out))
         docs = out
     ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
-    for name, before, after in seen[:-1]:
-        assert after.columns == before.columns, name
-    _, before, after = seen[0]
-    assert ids(before) - ids(after) == set()  # all texts here are in some language
-    _, before, after = seen[1]
-    want = clusters({r.doc_id: simhash(r.text) for r in before.collect()})
-    assert ids(after) == set(want.values())
-    assert ids(seen[4][1]) == ids(seen[4][2]) and seen[4][1].count() == seen[4][2].count()
-    assert pipeline.run(spark, SF).count() == docs.count() and source.count() >= len(ids(docs))
+    for _, before, after in seen[:-1]:
+        assert after.columns == before.columns
+    texts, before, after = seen[0]
+    assert set(texts) - ids(after) == set()  # all texts here are in some language
+    texts, before, after = seen[1]
+    assert ids(after) == set(similar_components(texts).values())
+    texts, before, after = seen[2]
+    grams = {tuple(w[k : k + 8]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if (w := words_of(r.text)) for k in range(max(1, len(w) - 7))}
+    hit = {i for i, t in texts.items() if (w := words_of(t)) and any(tuple(w[k : k + n]) in grams for n in {len(g) for g in grams} for k in range(len(w) - n + 1))}
+    assert hit and ids(after) == set(texts) - hit
+    texts, before, after = seen[3]
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in texts.items()}
+    source = {r.doc_id: r.source for r in before.collect()}
+    target, taken, often = targets(size, source), Counter(), Counter(r.doc_id for r in after.collect())
+    for i, n in often.items():
+        taken[source[i]] += n * size[i]
+    assert max(often.values()) <= 2
+    for s, want in target.items():
+        assert abs(taken[s] - want) <= max([1.0] + [size[i] for i in size if source[i] == s]), s
+    texts, before, after = seen[4]
+    rows = after.collect()
+    assert Counter(r.doc_id for r in rows) == often and sum(r.size for r in rows) == sum(n * (len(texts[i].encode()) + 16) for i, n in often.items())
+    for shard in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
+    assert pipeline.run(spark, SF).count() == len(rows)
 
 
 def test_pipeline_awkward_rows(spark):
