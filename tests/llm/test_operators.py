@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from maskwright.llm import decontamination
 from maskwright.llm.common import Scratch
 from maskwright.llm.decontamination import decontaminate
 from maskwright.llm.exact_dedup import exact_dedup
@@ -112,13 +113,17 @@ def test_repeats_ids(spark, empty):
     assert remove_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("automaton_bytes", [1 << 20, 40])
-def test_decontaminate(spark, docs, empty, automaton_bytes):
+@pytest.mark.parametrize("block", [2 << 20, 200])
+def test_decontaminate(spark, docs, empty, block):
     texts = {i: t for i, t, *_ in awkward()}
     words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOWER))
     items = [("q1", " ".join(words(texts[1])[:12])), ("q2", "one"), ("q3", None), ("q4", "--"), ("q5", " ".join(words(texts[203])[100:108]).upper()), ("q6", "one"), ("q7", " ".join(words(texts[203])[104:115]))]
     bench = spark.createDataFrame(items, "item_id string, text string")
-    got = by_id(decontaminate(docs, bench, automaton_bytes=automaton_bytes))
+    listed = [(i, t) for i, t in items if t]
+    auto, got = decontamination.build([(k, t.encode()) for k, (_, t) in enumerate(listed)], 8), by_id(decontaminate(docs, bench))
+    whole, decontamination._BLOCK = decontamination._BLOCK, block
+    pieces = dict(zip(texts, decontamination.find(auto, [(t or "").encode() for t in texts.values()], 8), strict=True))
+    decontamination._BLOCK = whole
     grams = [(item, w[k : k + min(8, len(w))]) for item, t in items if (w := words(t)) for k in range(max(1, len(w) - 7))]
     for i, t in texts.items():
         w, hit, found = words(t), set(), set()
@@ -131,10 +136,26 @@ def test_decontaminate(spark, docs, empty, automaton_bytes):
         assert (r.n_words, r.n_hit, list(r["items"]), r.contaminated) == (len(w), len(hit), sorted(found), len(found) >= 2), i
         raw = (t or "").encode()
         assert sum(len(words(raw[s.start : s.end].decode())) for s in r.spans) == len(hit)
+        n_words, runs, numbers = pieces[i]
+        assert (n_words, [(s, e) for *_, s, e in runs], {listed[k][0] for k in numbers}) == (len(w), [(s.start, s.end) for s in r.spans], found)
     assert decontaminate(empty, bench).count() == 0
     assert {r.n_items for r in decontaminate(docs, bench.limit(0)).collect()} == {0}
 
 
+def test_decontaminate_by_5_mb_of_items(spark):
+    """A large benchmark is still one automaton and one scan."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(20_000)]
+    items = [(str(k), " ".join(rng.choices(words, k=400))) for k in range(2200)]
+    assert sum(len(t) for _, t in items) > 5 << 20
+    rows = [(k, " ".join(rng.choices(words, k=30)) + " " + (" ".join(items[7 * k][1].split()[11 : 11 + k]) if k % 2 else "") + " end") for k in range(1, 40)]
+    got = by_id(decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")))
+    for k, _ in rows:
+        assert (got[k]["items"], got[k].n_hit) == (([str(7 * k)], k) if k % 2 and k >= 8 else ([], 0)), k
+    with pytest.raises(ValueError):
+        decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), most_item_bytes=1000)
+
+
 def test_fit_lengths():
     rng = random.Random(5)
     for _ in range(200):
