@@ -19,7 +19,7 @@ from .common import Scratch, small_batches
 
 
 def pack(rows: DataFrame, keep: Scratch, batch_bytes: int = 8 << 20, name: str = "packed") -> DataFrame:
-    """``batch, docs``: the rows in Arrow batches of about ``batch_bytes``; a larger row is a batch of its own."""
+    """``batch, docs, size``: the rows in Arrow batches of about ``batch_bytes``; a larger row is a batch of its own."""
     small_batches(rows.sparkSession)
 
     def packed(batches):
@@ -31,7 +31,7 @@ def pack(rows: DataFrame, keep: Scratch, batch_bytes: int = 8 << 20, name: str =
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
                 out.write_table(table)
-            row = pa.RecordBatch.from_arrays([pa.array([first + seq], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "docs"])
+            row = pa.RecordBatch.from_arrays([pa.array([first + seq], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([size], pa.int64())], ["batch", "docs", "size"])
             seq, held, size = seq + 1, [], 0
             return row
 
@@ -50,7 +50,7 @@ def pack(rows: DataFrame, keep: Scratch, batch_bytes: int = 8 << 20, name: str =
         if held:
             yield flush()
 
-    return keep.write(rows.mapInArrow(packed, "batch long, docs binary"), name)
+    return keep.write(rows.mapInArrow(packed, "batch long, docs binary, size long"), name)
 
 
 def unpack(docs: bytes) -> pa.Table:
@@ -59,6 +59,7 @@ def unpack(docs: bytes) -> pa.Table:
 
 def ask(packed: DataFrame, question: Callable[[pa.Table, dict], Iterator[tuple[int, bytes]]]) -> DataFrame:
     """``bucket, batch, payload``: what each batch asks. question: (documents, answers so far by bucket) -> (bucket, payload)."""
+    packed = packed.drop("size")
     known = "answers" in packed.columns
 
     def asked(batches):

@@ -7,6 +7,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from maskwright.llm.common import Scratch
 from maskwright.llm.decontamination import decontaminate
 from maskwright.llm.exact_dedup import exact_dedup
 from maskwright.llm.language_id import fit, identify
-from maskwright.llm.maxent_lm import score_texts
+from maskwright.llm.maxent_lm import Tokens, learn, score_texts
 from maskwright.llm.mixing import fit_lengths, mix_sources
 from maskwright.llm.repeats import remove_repeats
 from maskwright.llm.sharding import shard_by_bytes
@@ -389,6 +391,75 @@ def test_language_model(docs, empty):
     assert {r.train_tokens for r in unseen} == {0}
 
 
+def test_language_model_is_what_its_weights_say(docs):
+    """Scores against the formula evaluated symbol by symbol in plain Python; every factor sums to one."""
+    held_out = F.col("doc_id") % 5 == 0
+    learned, got = learn(docs, held_out, rounds=3), by_id(score_texts(docs, held_out, rounds=3))
+    symbols, model = learned.symbols, learned.model
+    texts = {i: (t or "").translate(LOWER).encode() for i, t, *_ in awkward()}
+    split = {i: [*re.findall(rb"[^\x20\x09-\x0d]+", t), None] for i, t in texts.items()}
+    count = Counter(x for i, t in split.items() if i % 5 for x in t)
+    members = defaultdict(list)
+    for s, c in enumerate(model.symbol_class.tolist()):
+        members[c].append(s)
+    assert max(map(len, members.values())) <= 1 + math.isqrt(symbols.n) and len(members) > 4
+
+    def softmax(table, rows, columns):
+        logits = {c: sum(float(table[r, c]) for r in rows) for c in columns}
+        total = sum(math.exp(x) for x in logits.values())
+        return {c: math.exp(x) / total for c, x in logits.items()}
+
+    seen = {}
+
+    def chances(second, first):
+        if (second, first) not in seen:
+            one = lambda *x: [np.array([v], np.int64) for v in x]
+            classes = softmax(model.of_class, [int(f[0]) for f in model.class_features(*one(second, first))], members)
+            out = {}
+            for c, mine in members.items():
+                slots = softmax(model.in_class, [int(f[0]) for f in model.symbol_features(*one(c, second, first))], [int(model.slot[s]) for s in mine])
+                out.update({s: classes[c] * slots[int(model.slot[s])] for s in mine})
+            assert sum(out.values()) == pytest.approx(1, abs=1e-4)
+            seen[second, first] = out
+        return seen[second, first]
+
+    of, kinds = {}, defaultdict(dict)
+    for i, words in split.items():
+        tokens = Tokens(pa.table({"text": pa.array([texts[i]], pa.binary()), "held_out": [False]}))
+        own = symbols.of(tokens).tolist()
+        of[i] = own
+        for w, s in zip(words, own, strict=True):
+            assert (s == 0) == (w is None)
+            if count[w]:
+                kinds[s][w] = count[w]
+    for s, words in kinds.items():
+        if 0 < s <= symbols.n_words:
+            assert len(words) == 1
+    for i in [0, 1, 2, 5, 10, 11, 200, 206, 207]:
+        want, past = 0.0, (0, 0)
+        for w, s in zip(split[i], of[i], strict=True):
+            share = 1.0 if s <= symbols.n_words else (count[w] + 0.1) / (sum(kinds[s].values()) + 0.1 * (len(kinds[s]) + 1))
+            want += math.log10(chances(*past)[s] * share)
+            past = (past[1], s)
+        assert got[i].score == pytest.approx(want, rel=1e-4, abs=1e-3), i
+
+
+def test_language_model_learns_order(spark):
+    """Word order that unigrams cannot see lifts held-out text; likelihood of training text never falls from round to round."""
+    rng = random.Random(4)
+    after = {f"w{k}": [f"w{(3 * k + d) % 40}" for d in (1, 2)] for k in range(40)}
+
+    def text():
+        out = ["w0"]
+        while len(out) < 50:
+            out.append(rng.choice(after[out[-1]]))
+        return " ".join(out)
+
+    rows = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string")
+    got = [score_texts(rows, F.col("doc_id") % 10 == 0, rounds=n).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first() for n in (1, 8)]
+    assert got[1][0] > got[0][0] > got[0][1] - 1 and (got[1][0] - got[1][1]) / got[1][2] > 0.5
+
+
 def test_warc(spark):
     big, small = "é<p>\r\n\r\nWARC/1.1\r\n" * 9000, "x" * 99
     rows = [(1, "http://a/é b", big), (2, "http://a/\r\nX: y", big), (3, None, None), (4, "u", ""), (5, "u", small), (6, "u", small), (7, "u", "y" * 100), (8, "u", "y" * 100), (8, "u", "y" * 100)]
