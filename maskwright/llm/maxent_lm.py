@@ -5,7 +5,7 @@ symbol). The first two are softmaxes over hashed features of the two symbols bef
 nearer one, and the same of their classes. A frequent word is a symbol, any other token has the symbol of how it ends
 and is told apart from those that end alike by its smoothed share, with one slot for all unseen ones; so all factors sum to one.
 
-Symbols, classes and features are the corpus's own: the number of symbols grows with the square root of the training text, classes gather
+Symbols, classes and features are the corpus's own: the number of symbols grows with the cube root of the training text, classes gather
 symbols with like neighbours, about the square root of them in each. Every training document counts: token counts are exact, and the gradient of every
 round is that of the whole training corpus, because all tokens with the same symbols before them share one row of statistics.
 """
@@ -401,14 +401,14 @@ class Learned:
     distinct: int
 
 
-def learn(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", most_words: int = 1 << 12, most_rows: int = 1 << 18, rounds: int = 10, ridge: float = 1.0, batch_bytes: int = 8 << 20) -> Learned:
+def learn(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", most_words: int = 1 << 12, most_rows: int = 1 << 18, rounds: int = 8, ridge: float = 1.0, batch_bytes: int = 8 << 20) -> Learned:
     """Count and fit; see ``score_texts``."""
     spark = docs.sparkSession
     keep = Scratch(spark, "lm")
     packed = pack(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")), keep, batch_bytes)
     n_batches, n_bytes = packed.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets = bucket_count(spark, n_batches, 4)
-    most = min(most_words, max(16, 1 << max(0, round(math.log2(max(1.0, (n_bytes / 6) ** 0.5 / 24))))))
+    most = min(most_words, max(16, 1 << max(0, round(math.log2(max(1.0, n_bytes / 6)) / 3))))  # the cube root of about as many words
 
     def tokens_of(table: pa.Table, _: dict):
         tokens = Tokens(table)
@@ -442,7 +442,7 @@ def learn(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     of_end = told.filter(F.col("token") == end).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     total, distinct = sum(e[1] for e in endings), sum(e[2] for e in endings)
     frequent = [f for f in frequent if f[0] != end][:most]
-    n_words, n_endings = len(frequent), max(32, most // 4)
+    n_words, n_endings = len(frequent), max(64, most // 2)
     n = 1 + n_words + n_endings
     held, kinds, ending_symbol = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(1 << 16, n - 1, np.int64)
     rest = {e: [n_, v] for e, n_, v in endings}
@@ -474,7 +474,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     gives no rows. Other columns are ignored, whatever their names. A worker holds a batch of ``batch_bytes`` of text, or one longer text, at about 25 bytes of memory for each.
 
     ``fitted`` goes to ``learn``: ``most_words`` and ``most_rows`` bound the words that are symbols and the rows of the weight tables, and so
-    what a worker holds of the model; under those bounds words grow with the square root of the text, rows with the symbols.
+    what a worker holds of the model; under those bounds words grow with the cube root of the text, rows with the symbols.
     """
     learned = learn(docs, held_out, id_col, text_col, **fitted)
     total, distinct, buckets = learned.total, learned.distinct, learned.buckets
