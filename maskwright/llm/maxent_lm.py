@@ -408,7 +408,7 @@ def learn(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     packed = pack(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")), keep, batch_bytes)
     n_batches, n_bytes = packed.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets = bucket_count(spark, n_batches, 4)
-    most = min(most_words, max(16, 1 << max(0, round(math.log2(max(1.0, n_bytes / 6)) / 3))))  # the cube root of about as many words
+    most = min(most_words, max(64, 1 << max(0, round(math.log2(max(1.0, n_bytes / 6)) / 3))))  # the cube root of about as many words
 
     def tokens_of(table: pa.Table, _: dict):
         tokens = Tokens(table)
@@ -442,7 +442,7 @@ def learn(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     of_end = told.filter(F.col("token") == end).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     total, distinct = sum(e[1] for e in endings), sum(e[2] for e in endings)
     frequent = [f for f in frequent if f[0] != end][:most]
-    n_words, n_endings = len(frequent), max(64, most // 2)
+    n_words, n_endings = len(frequent), most
     n = 1 + n_words + n_endings
     held, kinds, ending_symbol = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(1 << 16, n - 1, np.int64)
     rest = {e: [n_, v] for e, n_, v in endings}
