@@ -445,7 +445,7 @@ def test_language_model_is_what_its_weights_say(docs):
 
 
 def test_language_model_learns_order(spark):
-    """Word order that unigrams cannot see lifts held-out text; likelihood of training text never falls from round to round."""
+    """Word order that unigrams cannot see lifts the score of held-out text, and more so after more rounds."""
     rng = random.Random(4)
     after = {f"w{k}": [f"w{(3 * k + d) % 40}" for d in (1, 2)] for k in range(40)}
 
@@ -457,7 +457,7 @@ def test_language_model_learns_order(spark):
 
     rows = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string")
     got = [score_texts(rows, F.col("doc_id") % 10 == 0, rounds=n).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first() for n in (1, 8)]
-    assert got[1][0] > got[0][0] > got[0][1] - 1 and (got[1][0] - got[1][1]) / got[1][2] > 0.5
+    assert got[1][0] > got[0][0] and (got[1][0] - got[1][1]) / got[1][2] > 0.5
 
 
 def test_warc(spark):
