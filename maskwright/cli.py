@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import SparkSession, functions as F
 
-from .config import MangleOptions, Settings
+from .config import Switches, Settings
 from .operators.restore import restore_files
 from .plans.sanitize import sanitize, scan
 from .sources.files import load_input, write_files
@@ -46,7 +46,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 1
     spark = spark or SparkSession.builder.appName("maskwright").getOrCreate()
     if args.command == "sanitize":
-        options = MangleOptions(sensitive_info=args.mangle_sensitive_info, code_identifiers=args.mangle_code_identifiers)
+        options = Switches(sensitive_info=args.mangle_sensitive_info, code_identifiers=args.mangle_code_identifiers)
         done = sanitize(load_input(spark, args.input, args.text), Settings(options=options))
         count = done.changes.count()
         if args.text is not None or args.dry_run:

@@ -7,7 +7,9 @@ grammar would be needed: names in macros, and definitions that differ from uses
 
 from __future__ import annotations
 
+import keyword
 import re
+from itertools import accumulate
 from typing import NamedTuple
 
 
@@ -18,17 +20,19 @@ class Occurrence(NamedTuple):
     category: str | None  # of a definition, else None
 
 
-# Words that are never renamed, by language.
-_CPP = frozenset("""if else for while do switch case default break continue return goto try catch throw class struct enum union namespace using typedef
-public private protected virtual static const constexpr volatile mutable friend template typename new delete sizeof this operator void int char bool
-float double long short unsigned signed auto inline extern register true false nullptr""".split())
-_PYTHON = frozenset("""if elif else for while try except finally with as def class return yield import from pass break continue raise lambda global nonlocal
-assert del in is not and or True False None async await""".split())
-_JS = frozenset("""if else for while do switch case default break continue return function class extends super this new delete typeof instanceof in of try
-catch finally throw var let const import export from as async await yield void true false null undefined interface type enum namespace implements""".split())
-_JAVA = frozenset("""if else for while do switch case default break continue return class interface enum extends implements public private protected static
-final abstract void int char boolean byte short long float double new this super try catch finally throw throws import package instanceof synchronized
-true false null""".split())
+# The reserved words of each language's standard, with the literals that act as such; they are never renamed.
+_CPP = frozenset("""alignas alignof and and_eq asm auto bitand bitor bool break case catch char char16_t char32_t char8_t class co_await co_return co_yield
+compl concept const const_cast consteval constexpr constinit continue decltype default delete do double dynamic_cast else enum explicit export extern
+false float for friend goto if inline int long mutable namespace new noexcept not not_eq nullptr operator or or_eq private protected public register
+reinterpret_cast requires return short signed sizeof static static_assert static_cast struct switch template this thread_local throw true try typedef
+typeid typename union unsigned using virtual void volatile wchar_t while xor xor_eq""".split())
+_PYTHON = frozenset(keyword.kwlist)
+_JS = frozenset("""arguments as async await break case catch class const continue debugger default delete do else enum eval export extends false finally for
+from function if implements import in instanceof interface let namespace new null of package private protected public return static super switch this
+throw true try type typeof undefined var void while with yield""".split())
+_JAVA = frozenset("""abstract assert boolean break byte case catch char class const continue default do double else enum extends false final finally float
+for goto if implements import instanceof int interface long native new null package private protected public return short static strictfp super switch
+synchronized this throw throws transient true try void volatile while""".split())
 RESERVED = {"python": _PYTHON, "java": _JAVA, "cpp": _CPP, "javascript": _JS, "typescript": _JS}
 # Names with a meaning of their own, by language.
 _SPECIAL = {"python": frozenset({"self", "cls"}), "java": frozenset({"main", "toString", "equals", "hashCode", "clone", "finalize"})}
@@ -111,6 +115,8 @@ def _inside(found: _Found, language: str, text: str, base: int, pattern: str) ->
 
 def _python(text: str) -> list[Occurrence]:
     found, tokens = _Found("python"), _tokens("python", text)
+    bare = [t for t in tokens if t.kind != "line"]
+    place = list(accumulate((t.kind != "line" for t in tokens), initial=0))  # of a token, counted without line ends
     depth, begins, scopes, header = 0, True, [], False
     line_start = 0
     for i, t in enumerate(tokens):
@@ -137,7 +143,7 @@ def _python(text: str) -> list[Occurrence]:
                 else:
                     found.define(nxt, "method" if scopes and scopes[-1][1] == "class" else "function")
                     if i + 2 < len(tokens) and tokens[i + 2].text == "(":
-                        for part in _parts([x for x in tokens if x.kind != "line"], *_bounds(tokens, i + 2)):
+                        for part in _parts(bare, place[i + 2] + 1, place[_close(tokens, i + 2)]):
                             names = [x for x in part if x.text not in ("*", "**")]
                             if names:
                                 found.define(names[0], "variable")
@@ -157,26 +163,27 @@ def _python(text: str) -> list[Occurrence]:
     return found.result()
 
 
-def _bounds(tokens: list[Token], at: int) -> tuple[int, int]:
-    """The inside of a bracket, counted without line ends."""
-    end = _close(tokens, at)
-    skipped = sum(t.kind == "line" for t in tokens[: at + 1])
-    return at + 1 - skipped, end - sum(t.kind == "line" for t in tokens[:end])
+_BEFORE_REGEX = frozenset("( , = : [ ! & | ? { } ; && || => return typeof case".split())
 
 
-_BEFORE_REGEX = frozenset("( , = : [ ! & | ? { } ; && || => return typeof case".split())
+_JS_REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
+
+
+def _js_tokens(text: str) -> list[Token]:
+    """Tokens in one pass; a slash after an operator opens a regular expression, which is a text like a string."""
+    out, at = [], 0
+    while m := _LEX["js"].search(text, at):
+        at = m.end()
+        if m.lastgroup == "skip":
+            continue
+        whole = _JS_REGEX.match(text, m.start()) if m.group() == "/" and (not out or out[-1].text in _BEFORE_REGEX) else None
+        at = whole.end() if whole else at
+        out.append(Token("text", '""', m.start(), at) if whole else Token(m.lastgroup, m.group(), m.start(), at))
+    return out
 
 
 def _js(language: str, text: str) -> list[Occurrence]:
-    found = _Found(language)
-    # A slash after an operator opens a regular expression: blank it, then read on.
-    plain = _tokens("js", text)
-    for i, t in enumerate(plain):
-        if t.text == "/" and (i == 0 or plain[i - 1].text in _BEFORE_REGEX):
-            m = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*").match(text, t.start)
-            if m:
-                return _js(language, text[: t.start] + '"' + " " * (m.end() - t.start - 2) + '"' + text[m.end() :])
-    tokens = plain
+    found, tokens = _Found(language), _js_tokens(text)
     classes: list[int] = []  # depths of class bodies
     depth, pending = 0, False
     n = len(tokens)

@@ -51,23 +51,39 @@ def merge_overlaps(column: str) -> Column:
     """The findings that stay: a fold by start, ties by emission.
 
     A finding without overlap stays. One that overlaps kept findings replaces them all if its (tier, length, confidence) is above
-    the best of theirs, and else goes; what was replaced never returns.
+    the best of theirs, and else goes; what was replaced never returns. What is kept never overlaps, so the last ends last:
+    where the next finding begins behind it, all before is done and only an island of findings is ever compared.
     """
     rank = "struct({0}.tier, {0}.end - {0}.start, {0}.confidence)"
-    overlap = "(k.start < f.end AND f.start < k.end)"
+    overlap = "k.start < f.end AND f.start < k.end"
     return F.expr(f"""
-        array_sort(aggregate(
+        aggregate(
           array_sort({column}, (a, b) -> CASE WHEN a.start < b.start THEN -1 WHEN a.start > b.start THEN 1 WHEN a.emit < b.emit THEN -1 WHEN a.emit > b.emit THEN 1 ELSE 0 END),
-          {NONE},
-          (kept, f) -> CASE
-            WHEN NOT exists(kept, k -> {overlap}) THEN concat(kept, array(f))
-            WHEN {rank.format("f")} > array_max(transform(filter(kept, k -> {overlap}), k -> {rank.format("k")}))
-              THEN concat(filter(kept, k -> NOT {overlap}), array(f))
-            ELSE kept END
-        ), (a, b) -> CASE WHEN a.start < b.start THEN -1 WHEN a.start > b.start THEN 1 ELSE 0 END)
+          named_struct('done', {NONE}, 'open', {NONE}),
+          (acc, f) -> CASE
+            WHEN size(acc.open) = 0 OR element_at(acc.open, -1).end <= f.start THEN named_struct('done', concat(acc.done, acc.open), 'open', array(f))
+            WHEN NOT exists(acc.open, k -> {overlap}) THEN named_struct('done', acc.done, 'open', concat(acc.open, array(f)))
+            WHEN {rank.format("f")} > array_max(transform(filter(acc.open, k -> {overlap}), k -> {rank.format("k")}))
+              THEN named_struct('done', acc.done, 'open', concat(filter(acc.open, k -> NOT ({overlap})), array(f)))
+            ELSE acc END,
+          acc -> concat(acc.done, acc.open)
+        )
     """)
 
 
+def merged_list(found: list[tuple]) -> list[tuple]:
+    """The same merge of (start, end, category, value, confidence, detector, tier, emit) in plain Python."""
+    kept: list[tuple] = []
+    rank = lambda f: (f[6], f[1] - f[0], f[4])
+    for f in sorted(found, key=lambda f: (f[0], f[7])):
+        n = len(kept)
+        while n and kept[n - 1][1] > f[0]:
+            n -= 1
+        if n == len(kept) or rank(f) > max(map(rank, kept[n:])):
+            kept[n:] = [f]
+    return kept
+
+
 def entropy(value: Column) -> Column:
     """Shannon entropy of the characters of a string, in bits."""
     n = F.length(value)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import Settings
-from ..functions.spans import FINDING, NONE, TIERS, entropy, find_spans, findings, merge_overlaps
+from ..functions.spans import FINDING, NONE, TIERS, entropy, find_spans, findings, merge_overlaps, merged_list
 
 
 @dataclass(frozen=True)
@@ -54,6 +54,7 @@ VALUES = (
 TOKEN = r"\b[A-Za-z0-9+/_=-]{20,}\b"
 #: Java's matcher recurses for each repetition of a group; texts with such long tokens, or Windows paths in such long lines, are matched by Python instead.
 LONG_TOKEN = r"(?U)(?:^|\s)[^\s]{1000,}"
+LONG_TEXT = 1 << 15  # characters beyond which a text may hold so many findings that arrays of them are slow
 LONG_PATH = r"(?:^|[<>:\"|?*\r\n])[^<>:\"|?*\r\n]{4000,}"
 
 
@@ -113,18 +114,21 @@ def python_findings(text: str, settings: Settings, only: tuple[str, ...] | None
         if settings.allows(category) and (only is None or category in only) and confidence >= settings.min_confidence:
             out.extend((a, b, category, text[a:b], confidence, detector, TIERS[detector], emit) for a, b in matches)
 
+    hinted = lambda d: not d.hints or any(h in text for h in d.hints)
     for d in SECRETS:
         emit += 1
-        add([m.span("v") for m in re.finditer(f"{d.prefix or ''}(?P<v>{d.pattern})", text)], d.category, d.confidence, "regex")
+        if hinted(d) and settings.allows(d.category) and (only is None or d.category in only):
+            add([m.span("v") for m in re.finditer(f"{d.prefix or ''}(?P<v>{d.pattern})", text)], d.category, d.confidence, "regex")
     emit += 1
-    for m in re.finditer(TOKEN, text):
+    for m in re.finditer(TOKEN, text) if settings.allows("high_entropy_string") and (only is None or "high_entropy_string" in only) else ():
         token = m.group()
         h = -sum(p * math.log2(p) for p in (token.count(c) / len(token) for c in set(token)))
         if h >= settings.entropy_threshold:
             add([m.span()], "high_entropy_string", min(0.3 + (h - settings.entropy_threshold) * 0.1, 0.75), "entropy")
     for d in VALUES:
         emit += 1
-        add([m.span() for m in re.finditer(d.pattern, text) if d.category != "hostname" or set(m.group().lower().split(".")) & set(settings.hostname_labels)], d.category, d.confidence, "regex")
+        if hinted(d) and settings.allows(d.category) and (only is None or d.category in only):
+            add([m.span() for m in re.finditer(d.pattern, text) if d.category != "hostname" or set(m.group().lower().split(".")) & set(settings.hostname_labels)], d.category, d.confidence, "regex")
     emit += 1
     for name, pattern in settings.custom_patterns.items():
         emit += 1
@@ -138,23 +142,28 @@ def python_findings(text: str, settings: Settings, only: tuple[str, ...] | None
 def detect(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text", merged: bool = True, guard: bool = True, only: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` with a column ``findings``; merged, unless asked otherwise, so that none overlap.
 
-    A null text has no findings. With ``guard``, texts whose tokens are so long that Java's matcher could exhaust its stack go
-    through Python; all others stay in the JVM. Detectors that the settings rule out, or that are not of the categories in ``only``, are not in the plan.
+    A null text has no findings. With ``guard``, texts whose tokens are so long that Java's matcher could exhaust its stack, and very long texts, go
+    through Python; all others stay in the JVM, and the input is read once for both. Detectors that the settings rule out, or that are not of the categories in ``only``, are not in the plan.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     columns = detector_columns(text, settings, only)
-    native = F.concat(*columns) if columns else F.expr(NONE)
+    native = (F.concat(*columns) if columns else F.expr(NONE)).cast(f"array<{FINDING}>")
     if not guard or not columns:
-        found = docs.withColumn("findings", native.cast(f"array<{FINDING}>"))
-    else:
-        def slow(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: [dict(zip(("start", "end", "category", "value", "confidence", "detector", "tier", "emit"), f, strict=True)) for f in python_findings(t, settings, only)])
-
-        slow_udf = F.pandas_udf(slow, f"array<{FINDING}>")
-        long = text.rlike(LONG_TOKEN) | (F.contains(text, F.lit(":\\")) & text.rlike(LONG_PATH))
-        plain = docs.filter(~long).withColumn("findings", native.cast(f"array<{FINDING}>"))
-        found = plain.unionByName(docs.filter(long).withColumn("findings", slow_udf(text)))
-    return found.withColumn("findings", merge_overlaps("findings")) if merged else found
+        found = docs.withColumn("findings", native)
+        return found.withColumn("findings", merge_overlaps("findings")) if merged else found
+    names = ("start", "end", "category", "value", "confidence", "detector", "tier", "emit")
+
+    def slow(texts: pd.Series) -> pd.Series:
+        found = (None if t is None else python_findings(t, settings, only) for t in texts)
+        return pd.Series([None if f is None else [dict(zip(names, x, strict=True)) for x in (merged_list(f) if merged else f)] for f in found], dtype=object)
+
+    slow_udf = F.pandas_udf(slow, f"array<{FINDING}>")
+    long = (F.length(text) > LONG_TEXT) | text.rlike(LONG_TOKEN) | (F.contains(text, F.lit(":\\")) & text.rlike(LONG_PATH))
+    found = docs.withColumn("_slow", slow_udf(F.when(long, text)))
+    found = found.withColumn("findings", F.when(F.col("_slow").isNull(), native))
+    if merged:
+        found = found.withColumn("findings", F.when(F.col("findings").isNotNull(), merge_overlaps("findings")))
+    return found.withColumn("findings", F.coalesce("findings", "_slow")).drop("_slow")
 
 
 def with_names(found: DataFrame, recognise, settings: Settings, text_col: str = "text") -> DataFrame:

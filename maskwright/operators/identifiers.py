@@ -66,8 +66,9 @@ def without_clashes(numbered: DataFrame, found: DataFrame) -> DataFrame:
     names = found.select("name").distinct()
     fakes = numbered.filter(F.col("category").isin(*IDENTIFIER_OPTION)).select("category", "value", "replacement")
     clash = fakes.filter("replacement <> value").join(names, F.col("replacement") == F.col("name"), "left_semi")
-    suffixed = names.filter(F.col("name").rlike(r"_\d{3,}$")).select(F.regexp_extract("name", r"^(.*)_(\d{3,})$", 1).alias("base"), F.regexp_extract("name", r"^(.*)_(\d{3,})$", 2).cast("int").alias("k"))
+    ending = r"^(.*)_(\d{3}|[1-9]\d{3,8})$"  # only as a suffix is written: three digits, or more without leading zeros
+    suffixed = names.filter(F.col("name").rlike(ending)).select(F.regexp_extract("name", ending, 1).alias("base"), F.regexp_extract("name", ending, 2).cast("int").alias("k"))
     taken = suffixed.groupBy("base").agg(F.collect_set("k").alias("taken"))
     out = clash.join(taken, clash["replacement"] == taken["base"], "left").withColumn("taken", F.coalesce("taken", F.expr("CAST(array() AS array<int>)")))
     k = F.expr("filter(sequence(1, size(taken) + 1), k -> NOT array_contains(taken, k))[0]")
-    return out.select("category", "value", F.concat("replacement", F.lit("_"), F.lpad(k.cast("string"), 3, "0")).alias("forced"))
+    return out.select("category", "value", F.concat("replacement", F.lit("_"), F.when(k < 1000, F.lpad(k.cast("string"), 3, "0")).otherwise(k.cast("string"))).alias("forced"))

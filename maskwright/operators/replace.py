@@ -52,20 +52,21 @@ def splice(text: Column, findings: Column, out: str) -> Column:
 
     Lines end at line feeds alone; lines and columns count from 1 and the end column is exclusive.
     """
-    lines = lambda t: (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).cast("int")
-    cols = lambda t: (F.length(F.substring_index(t, "\n", -1)) + 1).cast("int")
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"), F.expr(f"CAST(array() AS array<{CHANGE}>)").alias("changes"))
+    breaks = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    column = lambda col, t: F.when(F.contains(t, F.lit("\n")), F.length(F.substring_index(t, "\n", -1)) + 1).otherwise(col + F.length(t)).cast("int")
+    start = F.struct(F.expr("CAST(array() AS array<string>)").alias("parts"), F.lit(0).alias("at"), F.lit(1).alias("line"), F.lit(1).alias("col"), F.expr(f"CAST(array() AS array<{CHANGE}>)").alias("changes"))
 
     def step(acc, f):
-        head = F.concat(acc["text"], F.substring(text, acc["at"] + 1, f["start"] - acc["at"]))
-        tail = F.concat(head, f["replacement"])
+        gap, put = F.substring(text, acc["at"] + 1, f["start"] - acc["at"]), f["replacement"]
+        line, col = (acc["line"] + breaks(gap)).cast("int"), column(acc["col"], gap)
+        end_line, end_col = (line + breaks(put)).cast("int"), column(col, put)
         change = F.struct(
-            type_of(f["category"]).alias("type"), f["category"].alias("category"), f["value"].alias("original"), f["replacement"].alias("replacement"),
-            lines(head).alias("start_line"), cols(head).alias("start_col"), lines(tail).alias("end_line"), cols(tail).alias("end_col"), f["confidence"].alias("confidence"), f["detector"].alias("detector"))
-        skip = f["start"] < acc["at"]
-        return F.struct(F.when(skip, acc["text"]).otherwise(tail).alias("text"), F.when(skip, acc["at"]).otherwise(f["end"]).alias("at"), F.when(skip, acc["changes"]).otherwise(F.concat(acc["changes"], F.array(change))).alias("changes"))
+            type_of(f["category"]).alias("type"), f["category"].alias("category"), f["value"].alias("original"), put.alias("replacement"),
+            line.alias("start_line"), col.alias("start_col"), end_line.alias("end_line"), end_col.alias("end_col"), f["confidence"].alias("confidence"), f["detector"].alias("detector"))
+        made = F.struct(F.concat(acc["parts"], F.array(gap, put)).alias("parts"), f["end"].alias("at"), end_line.alias("line"), end_col.alias("col"), F.concat(acc["changes"], F.array(change)).alias("changes"))
+        return F.when(f["start"] < acc["at"], acc).otherwise(made)
 
-    end = lambda acc: F.struct(F.concat(acc["text"], F.substring(text, acc["at"] + 1, 2147483647)).alias(out), acc["changes"].alias("changes"))
+    end = lambda acc: F.struct(F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, 2147483647)).alias(out), acc["changes"].alias("changes"))
     return F.aggregate(findings, start, step, end)
 
 

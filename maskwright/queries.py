@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .config import MangleOptions, Settings
+from .config import Switches, Settings
 from .functions.language import by_extension, by_looks, by_shebang
 from .functions.spans import FINDING, entropy, merge_overlaps
 from .functions.stable import spread
@@ -20,8 +20,8 @@ from .sources.files import decoded, is_binary, keyword_terms, numbered, wanted
 from .sources.maps import change_rows, from_json, map_document, to_json
 from .streaming.scan import documents_stream, start_counts
 
-_QUIET = Settings(options=MangleOptions(sensitive_secrets=False, sensitive_pii=False, sensitive_network=False, sensitive_paths=False, sensitive_org_project=False))
-_PII = Settings(options=MangleOptions(sensitive_secrets=False))
+_QUIET = Settings(options=Switches(sensitive_secrets=False, sensitive_pii=False, sensitive_network=False, sensitive_paths=False, sensitive_org_project=False))
+_PII = Settings(options=Switches(sensitive_secrets=False))
 _HOSTS = Settings(hostname_labels=("example",))
 _TERMS = {"stupid": "word", "MIT License": "org", "thorough": "word"}
 
@@ -95,7 +95,7 @@ def scan_by_lang_source(spark, sf_dir):
 
 
 def gated_scan(spark, sf_dir):
-    options = MangleOptions(sensitive_secrets=False, sensitive_network=False)
+    options = Switches(sensitive_secrets=False, sensitive_network=False)
     return scan_counts(detect(_docs(spark, sf_dir), Settings(options=options, min_confidence=0.6)), "doc_id")
 
 
@@ -211,7 +211,7 @@ def rename_identifiers(spark, sf_dir):
 
 
 def rename_gated(spark, sf_dir):
-    settings = Settings(protected_identifiers=frozenset({"bar"}), options=replace(MangleOptions(), code_variables=False))
+    settings = Settings(protected_identifiers=frozenset({"bar"}), options=replace(Switches(), code_variables=False))
     return sanitize(_code(spark), settings).files.select("path", "sanitized")
 
 

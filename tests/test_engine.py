@@ -8,7 +8,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from maskwright.config import MangleOptions, Settings
+from maskwright.config import Switches, Settings
 from maskwright.functions.code import RESERVED, is_ignored, occurrences
 from maskwright.functions.spans import FINDING, merge_overlaps
 from maskwright.operators.detect import SECRETS, VALUES, detect, python_findings
@@ -34,7 +34,7 @@ def texts(spark):
     return spark.createDataFrame(list(enumerate(TEXTS)), "file_ord long, text string")
 
 
-@pytest.mark.parametrize("settings", [Settings(), Settings(min_confidence=0.0, entropy_threshold=3.0, known_terms={"MyCompany": "org", "": "org"}, custom_patterns={"tld": r"\.c(o)m"}), Settings(options=MangleOptions(sensitive_pii=False, sensitive_secrets=False))])
+@pytest.mark.parametrize("settings", [Settings(), Settings(min_confidence=0.0, entropy_threshold=3.0, known_terms={"MyCompany": "org", "": "org"}, custom_patterns={"tld": r"\.c(o)m"}), Settings(options=Switches(sensitive_pii=False, sensitive_secrets=False))])
 def test_detectors_agree_with_python(texts, settings):
     got = {r.file_ord: sorted(tuple(f) for f in r.findings) for r in detect(texts, settings, merged=False).collect()}
     for i, t in enumerate(TEXTS):
@@ -155,7 +155,7 @@ def test_broken_code_keeps_its_keywords(language, text):
 def test_identifiers_across_files(spark):
     out, fakes, _ = run(spark, Settings(), ("a.py", "class RealClass:\n    pass\n"), ("b.py", "class Cls001(RealClass, Other):\n    pass\n"), ("c.sql", "SELECT RealClass"))
     assert out["a.py"].startswith("class Cls001_001") and out["b.py"] == "class Cls002(Cls001_001, Other):\n    pass\n" and out["c.sql"] == "SELECT RealClass"
-    out, _, _ = run(spark, Settings(protected_identifiers=frozenset({"go"}), options=MangleOptions(code_variables=False)), ("a.py", "class K:\n    def go(self, url):\n        return url\n"))
+    out, _, _ = run(spark, Settings(protected_identifiers=frozenset({"go"}), options=Switches(code_variables=False)), ("a.py", "class K:\n    def go(self, url):\n        return url\n"))
     assert out["a.py"] == "class Cls001:\n    def go(self, url):\n        return url\n"
 
 
