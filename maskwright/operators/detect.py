@@ -6,7 +6,7 @@ import math
 import re
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import Settings
@@ -139,28 +139,41 @@ def python_findings(text: str, settings: Settings, only: tuple[str, ...] | None
     return out
 
 
-def detect(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text", merged: bool = True, guard: bool = True, only: tuple[str, ...] | None = None) -> DataFrame:
+_FOUND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("category", pa.string()), ("value", pa.string()), ("confidence", pa.float64()), ("detector", pa.string()), ("tier", pa.int32()), ("emit", pa.int32())]))
+
+
+def _in_python(settings: Settings, only: tuple[str, ...] | None, merged: bool):
+    """A column function over Arrow batches of texts: their findings, none for a null."""
+
+    def find(texts: pa.Array) -> pa.Array:
+        names, out = _FOUND.value_type.names, []
+        for text in texts.to_pylist():
+            found = None if text is None else python_findings(text, settings, only)
+            out.append(None if found is None else [dict(zip(names, x, strict=True)) for x in (merged_list(found) if merged else found)])
+        return pa.array(out, _FOUND)
+
+    return F.arrow_udf(find, f"array<{FINDING}>")
+
+
+def detect(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text", merged: bool = True, guard: bool = True, only: tuple[str, ...] | None = None, native: bool = False) -> DataFrame:
     """``docs`` with a column ``findings``; merged, unless asked otherwise, so that none overlap.
 
-    A null text has no findings. With ``guard``, texts whose tokens are so long that Java's matcher could exhaust its stack, and very long texts, go
-    through Python; all others stay in the JVM, and the input is read once for both. Detectors that the settings rule out, or that are not of the categories in ``only``, are not in the plan.
+    A null text has no findings. The input is read once; its texts go through one Arrow function, whose cost is linear in a text and its
+    findings. Detectors that the settings rule out, or that are not of the categories in ``only``, do not run, and one whose hints a text
+    lacks is skipped. With ``native`` the same is built of SQL functions alone, which takes several times as long here; with ``guard`` its very long
+    texts, and those whose tokens are so long that Java's matcher could exhaust its stack, still go through Python.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    if not native:
+        return docs.withColumn("findings", _in_python(settings, only, merged)(text))
     columns = detector_columns(text, settings, only)
-    native = (F.concat(*columns) if columns else F.expr(NONE)).cast(f"array<{FINDING}>")
+    own = (F.concat(*columns) if columns else F.expr(NONE)).cast(f"array<{FINDING}>")
     if not guard or not columns:
-        found = docs.withColumn("findings", native)
+        found = docs.withColumn("findings", own)
         return found.withColumn("findings", merge_overlaps("findings")) if merged else found
-    names = ("start", "end", "category", "value", "confidence", "detector", "tier", "emit")
-
-    def slow(texts: pd.Series) -> pd.Series:
-        found = (None if t is None else python_findings(t, settings, only) for t in texts)
-        return pd.Series([None if f is None else [dict(zip(names, x, strict=True)) for x in (merged_list(f) if merged else f)] for f in found], dtype=object)
-
-    slow_udf = F.pandas_udf(slow, f"array<{FINDING}>")
     long = (F.length(text) > LONG_TEXT) | text.rlike(LONG_TOKEN) | (F.contains(text, F.lit(":\\")) & text.rlike(LONG_PATH))
-    found = docs.withColumn("_slow", slow_udf(F.when(long, text)))
-    found = found.withColumn("findings", F.when(F.col("_slow").isNull(), native))
+    found = docs.withColumn("_slow", _in_python(settings, only, merged)(F.when(long, text)))
+    found = found.withColumn("findings", F.when(F.col("_slow").isNull(), own))
     if merged:
         found = found.withColumn("findings", F.when(F.col("findings").isNotNull(), merge_overlaps("findings")))
     return found.withColumn("findings", F.coalesce("findings", "_slow")).drop("_slow")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.fakes import render, template_of
 from ..functions.stable import stable
@@ -17,11 +18,6 @@ TYPES = {
 CHANGE = "struct<type:string,category:string,original:string,replacement:string,start_line:int,start_col:int,end_line:int,end_col:int,confidence:double,detector:string>"
 
 
-def type_of(category: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, category), category)
-
-
 def first_seen(found: DataFrame, order_col: str) -> DataFrame:
     """``category, value, seen``: each distinct pair with the (document, offset) where it comes first. Summed before the shuffle."""
     rows = found.select(F.col(order_col).alias("_order"), F.explode("findings").alias("f"))
@@ -47,27 +43,37 @@ def number(pairs: DataFrame, forced: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def splice(text: Column, findings: Column, out: str) -> Column:
-    """The text with every finding replaced, and its changes. findings: sorted, with a ``replacement``; positions are those in the new text.
+def spliced(text: str, findings: list[dict]) -> tuple[str, list[dict]]:
+    """A text with every finding replaced, and its changes. findings: sorted, with a ``replacement``; positions are those in the new text.
 
-    Lines end at line feeds alone; lines and columns count from 1 and the end column is exclusive.
+    Lines end at line feeds alone; lines and columns count from 1 and the end column is exclusive. One that begins inside the one before is skipped.
     """
-    breaks = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
-    column = lambda col, t: F.when(F.contains(t, F.lit("\n")), F.length(F.substring_index(t, "\n", -1)) + 1).otherwise(col + F.length(t)).cast("int")
-    start = F.struct(F.expr("CAST(array() AS array<string>)").alias("parts"), F.lit(0).alias("at"), F.lit(1).alias("line"), F.lit(1).alias("col"), F.expr(f"CAST(array() AS array<{CHANGE}>)").alias("changes"))
+    parts, changes, at, line, col = [], [], 0, 1, 1
+
+    def passed(piece: str) -> tuple[int, int]:
+        parts.append(piece)
+        breaks = piece.count("\n")
+        return line + breaks, len(piece) - piece.rfind("\n") if breaks else col + len(piece)
+
+    for f in findings:
+        if f["start"] < at:
+            continue
+        line, col = start = passed(text[at : f["start"]])
+        line, col = passed(f["replacement"])
+        at = f["end"]
+        changes.append({
+            "type": TYPES.get(f["category"], f["category"]), "category": f["category"], "original": f["value"], "replacement": f["replacement"],
+            "start_line": start[0], "start_col": start[1], "end_line": line, "end_col": col, "confidence": f["confidence"], "detector": f["detector"],
+        })
+    return "".join(parts) + text[at:], changes
+
+
+_CHANGES = pa.list_(pa.struct([(name, {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[kind]) for name, kind in (part.split(":") for part in CHANGE[7:-1].split(","))]))
 
-    def step(acc, f):
-        gap, put = F.substring(text, acc["at"] + 1, f["start"] - acc["at"]), f["replacement"]
-        line, col = (acc["line"] + breaks(gap)).cast("int"), column(acc["col"], gap)
-        end_line, end_col = (line + breaks(put)).cast("int"), column(col, put)
-        change = F.struct(
-            type_of(f["category"]).alias("type"), f["category"].alias("category"), f["value"].alias("original"), put.alias("replacement"),
-            line.alias("start_line"), col.alias("start_col"), end_line.alias("end_line"), end_col.alias("end_col"), f["confidence"].alias("confidence"), f["detector"].alias("detector"))
-        made = F.struct(F.concat(acc["parts"], F.array(gap, put)).alias("parts"), f["end"].alias("at"), end_line.alias("line"), end_col.alias("col"), F.concat(acc["changes"], F.array(change)).alias("changes"))
-        return F.when(f["start"] < acc["at"], acc).otherwise(made)
 
-    end = lambda acc: F.struct(F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, 2147483647)).alias(out), acc["changes"].alias("changes"))
-    return F.aggregate(findings, start, step, end)
+def _splice(texts: pa.Array, findings: pa.Array) -> pa.Array:
+    done = [spliced(t or "", f or ()) for t, f in zip(texts.to_pylist(), findings.to_pylist(), strict=True)]
+    return pa.StructArray.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], _CHANGES)], ["sanitized", "changes"])
 
 
 def replace_findings(found: DataFrame, order_col: str, fakes: DataFrame, text_col: str = "text") -> DataFrame:
@@ -80,10 +86,11 @@ def replace_findings(found: DataFrame, order_col: str, fakes: DataFrame, text_co
     rows = rows.select("_order", "f.*").join(fakes.select("category", "value", "replacement"), ["category", "value"])
     mine = rows.groupBy("_order").agg(F.array_sort(F.collect_list(F.struct("start", "end", "category", "value", "confidence", "detector", "replacement"))).alias("_found"))
     joined = found.drop("findings").join(mine, F.col(order_col) == F.col("_order"), "left").drop("_order")
+    splice = F.arrow_udf(_splice, f"struct<sanitized:string,changes:array<{CHANGE}>>")  # linear in a text and its findings
     text = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.expr(f"CAST(array() AS array<{CHANGE}>)")
-    made = F.when(F.col("_found").isNotNull(), splice(text, F.col("_found"), "sanitized")).otherwise(F.struct(text.alias("sanitized"), none.alias("changes")))
-    return joined.withColumn("_made", made).drop("_found").withColumns({"sanitized": F.col("_made")["sanitized"], "changes": F.col("_made")["changes"]}).drop("_made")
+    some = joined.withColumn("_made", splice(F.when(F.col("_found").isNotNull(), text), F.col("_found")))  # a text without findings does not travel
+    sanitized = F.when(F.col("_found").isNull(), text).otherwise(F.col("_made")["sanitized"])
+    return some.withColumns({"sanitized": sanitized, "changes": F.col("_made")["changes"]}).drop("_made", "_found")
 
 
 def change_log(sanitized: DataFrame, order_col: str, *keys: str) -> DataFrame:

@@ -4,6 +4,7 @@ import os
 import random
 import re
 import sys
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from maskwright.config import Switches, Settings
 from maskwright.functions.code import RESERVED, is_ignored, occurrences
 from maskwright.functions.spans import FINDING, merge_overlaps
 from maskwright.operators.detect import SECRETS, VALUES, detect, python_findings
+from maskwright.operators.identifiers import without_clashes
 from maskwright.operators.replace import change_log
 from maskwright.operators.restore import restore, restore_files
 from maskwright.plans.sanitize import sanitize
@@ -36,7 +38,10 @@ def texts(spark):
 
 @pytest.mark.parametrize("settings", [Settings(), Settings(min_confidence=0.0, entropy_threshold=3.0, known_terms={"MyCompany": "org", "": "org"}, custom_patterns={"tld": r"\.c(o)m"}), Settings(options=Switches(sensitive_pii=False, sensitive_secrets=False))])
 def test_detectors_agree_with_python(texts, settings):
-    got = {r.file_ord: sorted(tuple(f) for f in r.findings) for r in detect(texts, settings, merged=False).collect()}
+    got = {r.file_ord: sorted(tuple(f) for f in r.findings) for r in detect(texts, settings, merged=False, native=True).collect()}
+    for merged in (False, True):  # the two ways to find are one
+        a, b = ({r.file_ord: [[x if not isinstance(x, float) else round(x, 9) for x in f] for f in sorted(r.findings)] for r in detect(texts, settings, merged=merged, native=n).collect()} for n in (False, True))
+        assert a == b
     for i, t in enumerate(TEXTS):
         want = sorted(python_findings(t or "", settings))
         assert [f[:4] + f[5:] for f in got[i]] == [f[:4] + f[5:] for f in want], i
@@ -159,6 +164,32 @@ def test_identifiers_across_files(spark):
     assert out["a.py"] == "class Cls001:\n    def go(self, url):\n        return url\n"
 
 
+def test_many_findings_in_one_text(spark):
+    """Merge, numbers and splice of 8,000 findings in one text, within seconds."""
+    text = "\n".join(f"a{k}@b.co" for k in range(8000))
+    began = time.time()
+    out, changes, _ = run(spark, Settings(options=Switches(code_identifiers=False)), ("a.txt", text))
+    assert len(changes) == 8000 and out["a.txt"].split("\n")[7999] == changes["email", "a7999@b.co"]
+    assert time.time() - began < 120
+
+
+def test_suffixes_from_1000_on(spark):
+    """A clash goes past all real names, also where their suffixes have four digits or leading zeros."""
+    names = ["Cls001", "RealClass"] + [f"Cls001_{k:03d}" for k in range(1, 1001)] + ["Cls001_0001"]
+    found = spark.createDataFrame([(n,) for n in names], "name string")
+    numbered = spark.createDataFrame([("class", "RealClass", "Cls001")], "category string, value string, replacement string")
+    assert [r.forced for r in without_clashes(numbered, found).collect()] == ["Cls001_1001"]
+
+
+def test_long_code_is_linear():
+    """1,500 regular expressions do not recurse, and 2,000 functions take seconds."""
+    js = "\n".join(f"const r{k} = /a[/]{k}/g.test(x{k});" for k in range(1500))
+    assert {"r0", "r1499"} <= {o.name for o in occurrences("javascript", js) if o.category == "variable"}
+    py = "\n".join(f"def f{k}(a, b):\n    return a + b" for k in range(2000))
+    began = time.time()
+    assert sum(o.category == "function" for o in occurrences("python", py)) == 2000 and time.time() - began < 20
+
+
 def test_folder(spark, tmp_path):
     root = tmp_path / "in"
     (root / "a" / "dist").mkdir(parents=True)
