@@ -119,9 +119,41 @@ def _looks(column: str) -> str:
     return f"CASE WHEN {bare} = '' THEN 'text' WHEN {bare}[1] IN ('{{', '[') AND {bare}[-1] IN (']', '}}') THEN 'json' WHEN {bare}[1] = '<' THEN 'xml' {whens} ELSE 'text' END"
 
 
+#: Named secrets as RE2 reads them: category, confidence, what may come before, the value. Quotes are doubled.
+_NAMED = (
+    ("aws_access_key", 0.95, None, r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"), ("github_token", 0.95, None, r"\bgh[opsur]_[0-9A-Za-z]{36,}\b"), ("gitlab_token", 0.95, None, r"\bglpat-[-\w]{20,}"),
+    ("slack_token", 0.95, None, r"\bxox[abprs]-[-0-9A-Za-z]{10,}"), ("google_api_key", 0.95, None, r"\bAIza[-\w]{35}"), ("jwt", 0.9, None, r"\beyJ[-\w]+\.[-\w]+\.[-\w]+"),
+    ("private_key_block", 0.95, None, r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\w+/=\s]+-----END [A-Z ]*PRIVATE KEY-----"), ("ssh_public_key", 0.9, None, r"\bssh-(?:rsa|dss|ed25519) [0-9A-Za-z+/]{20,}={0,3}"),
+    ("oauth_bearer_token", 0.8, r"\b[Bb]earer\s+", r"[\w.~+/-]{16,}=*"), ("db_connection_string", 0.9, None, r"""\b(?:postgresql|postgres|mysql|mongodb|redis|amqp)(?:\+[a-z0-9]+)?://[^\s''"<>]+"""),
+    ("azure_connection_string", 0.95, None, r"""DefaultEndpointsProtocol=https?;AccountName=[^;\s]+;AccountKey=[^;\s''"]+"""),
+    ("generic_password_assignment", 0.75, r"""(?i:\b(?:password|passwd|pwd)\s*[=:]\s*["'']?)""", r"""[^\s"'']{4,}"""),
+)
+
+
+def _renamed() -> str:
+    """The code of every nation with the names that files in order of their keys would get."""
+    pad = lambda n: f"lpad(CAST({n} AS VARCHAR), 3, '0')"
+    rank = lambda kinds: f"count(*) FILTER (n_nationkey % 3 IN ({kinds})) OVER (ORDER BY n_nationkey)"
+    return f"""
+WITH n AS (
+  SELECT n_nationkey AS k, {rank('0, 2')} AS fn, {rank('1, 2')} AS cls, {rank('1')} AS iface,
+    2 * {rank('0')} + {rank('2')} AS var FROM nation
+)
+SELECT 'n' || k || '.' || ['js', 'ts', 'java'][k % 3 + 1] AS path, ['javascript', 'typescript', 'java'][k % 3 + 1] AS language, true AS equal,
+  CASE k % 3
+    WHEN 0 THEN 'function fn' || {pad('fn')} || '(var' || {pad('var - 1')} || ') {{' || chr(10) || '  const var' || {pad('var')} || ' = var' || {pad('var - 1')} || ' + 1;' || chr(10) || '  return var' || {pad('var')} || ' / external;' || chr(10) || '}}' || chr(10)
+    WHEN 1 THEN 'interface Iface' || {pad('iface')} || ' {{ }}' || chr(10) || 'class Cls' || {pad('cls')} || ' implements Iface' || {pad('iface')} || ' {{ }}' || chr(10)
+    ELSE 'class Cls' || {pad('cls')} || ' {{' || chr(10) || '    int var' || {pad('var')} || ';' || chr(10) || '    int fn' || {pad('fn')} || '() {{' || chr(10) || '        return var' || {pad('var')} || ';' || chr(10) || '    }}' || chr(10) || '}}' || chr(10)
+  END AS sanitized
+FROM n"""
+
+
 def build() -> dict[str, str]:
     from . import queries as q
 
+    made = f"(SELECT c_custkey, {q.secret_texts('c_custkey', 'c_name')} AS text FROM customer)"
+    named = " UNION ALL ".join(f"SELECT * FROM ({spans(made, 'c_custkey', 'text', pattern, category, confidence, prefix)})" for category, confidence, prefix, pattern in _NAMED)
+
     count = "CAST(count(*) AS BIGINT) AS count"
     h = "list_sum(list_transform(list_distinct(string_split({0}, '')), lambda c: -((length({0}) - length(replace({0}, c, ''))) / length({0})) * log2((length({0}) - length(replace({0}, c, ''))) / length({0}))))"
     terms = " UNION ALL ".join(f"SELECT doc_id, category, start, end_, value, confidence FROM ({spans('documents', 'doc_id', 'text', t, c, 0.95)})" for t, c in q._TERMS.items())
@@ -136,6 +168,13 @@ def build() -> dict[str, str]:
         "detect_secret_assignment": spans("documents", "doc_id", "text", SECRET, "generic_secret_assignment", 0.7, ASSIGN),
         "detect_entropy": f"SELECT doc_id, category, start, end_, value, round(least(0.3 + (h - 3.0) * 0.1, 0.75), 6) AS confidence FROM ({entropy}) WHERE h >= 3.0",
         "detect_known_terms": terms,
+        "detect_named_secrets": named,
+        "rename_code": _renamed(),
+        "folder_roundtrip": """
+SELECT coalesce(lang, 'none') || '/d' || doc_id || '.txt' AS path, 'same' AS status, row_number() OVER (ORDER BY coalesce(lang, 'none'), 'd' || doc_id || '.txt') - 1 AS file_ord FROM documents""",
+        "switched_scan": f"""
+WITH f AS (SELECT category FROM ({terms}) UNION ALL SELECT category FROM ({spans('documents', 'doc_id', 'text', EMAIL, 'email', 0.85)}))
+SELECT 'all' AS switches, category, {count} FROM f GROUP BY ALL UNION ALL SELECT 'no_org', category, {count} FROM f WHERE category <> 'org' GROUP BY ALL""",
         "detect_custom_pattern": spans("documents", "doc_id", "text", r" and [a-z]+ |[A-Z]{3,}", "shout", 0.9),
         "detect_paths_fixture": f"SELECT * FROM {values([(1, 5, 'C:' + chr(92) + 'Users' + chr(92) + 'bob' + chr(92) + 'a.txt now'), (2, 4, '/home/bob/x.log'), (3, 0, '/etc/hosts'), (3, 15, '/opt/é/z'), (5, 0, 'D:' + chr(92) + 'one file.txt')], 'id, start, value')}",
         "token_entropy": f"SELECT c_custkey, round({h.format('c_name')}, 6) AS h FROM customer",

@@ -9,18 +9,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .config import Switches, Settings
 from .functions.language import by_extension, by_looks, by_shebang
 from .functions.spans import FINDING, entropy, merge_overlaps
-from .functions.stable import spread
+from .functions.stable import shared_folder, spread
 from .operators import identifiers
 from .operators.detect import detect, exploded
 from .operators.replace import change_log, first_seen, number, replace_findings
 from .operators.restore import compare_trees, restore, restore_files
 from .operators.scan import redact, scan_counts, scan_totals
 from .plans.sanitize import sanitize
-from .sources.files import decoded, is_binary, keyword_terms, numbered, wanted
+from .sources.files import decoded, is_binary, keyword_terms, load_folder, load_input, numbered, wanted, write_files
 from .sources.maps import change_rows, from_json, map_document, to_json
 from .streaming.scan import documents_stream, start_counts
 
-_QUIET = Settings(options=Switches(sensitive_secrets=False, sensitive_pii=False, sensitive_network=False, sensitive_paths=False, sensitive_org_project=False))
 _PII = Settings(options=Switches(sensitive_secrets=False))
 _HOSTS = Settings(hostname_labels=("example",))
 _TERMS = {"stupid": "word", "MIT License": "org", "thorough": "word"}
@@ -215,6 +214,77 @@ def rename_gated(spark, sf_dir):
     return sanitize(_code(spark), settings).files.select("path", "sanitized")
 
 
+#: A text for each format of a named secret, of a customer's name as hexadecimal digits ({0}, and in capitals {1}). Spark and DuckDB read them alike.
+SECRET_TEXTS = (
+    "'id AKIA' || substr({1}, 1, 16) || ' end'", "'id ghp_' || {0} || substr({0}, 1, 8) || ' end'", "'glpat-' || substr({0}, 1, 20)", "'xoxb-' || substr({0}, 1, 12) || ' end'", "'AIza' || {0} || 'abc'",
+    "'eyJ' || {0} || '.' || {0} || '.' || substr({0}, 3)", "'-----BEGIN RSA PRIVATE KEY-----' || chr(10) || {0} || chr(10) || '-----END RSA PRIVATE KEY-----'", "'ssh-rsa ' || {0} || ' me'",
+    "'Authorization: Bearer ' || {0}", "'at postgres://u:' || {0} || '@h/db now'", "'DefaultEndpointsProtocol=https;AccountName=a;AccountKey=' || {0}", "'password = ' || {0}",
+)
+NAMED_SECRETS = (
+    "aws_access_key", "github_token", "gitlab_token", "slack_token", "google_api_key", "jwt", "private_key_block", "ssh_public_key", "oauth_bearer_token", "db_connection_string", "azure_connection_string",
+    "generic_password_assignment",
+)
+
+
+def secret_texts(key: str, name: str) -> str:
+    """SQL for one of the texts, by the key."""
+    cases = " ".join(f"WHEN {k} THEN {text.format(f'md5({name})', f'upper(md5({name}))')}" for k, text in enumerate(SECRET_TEXTS))
+    return f"CASE {key} % {len(SECRET_TEXTS)} {cases} END"
+
+
+def named_secrets(spark, sf_dir):
+    """Every format of a named secret, in texts made from all customers."""
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.expr(secret_texts("c_custkey", "c_name")).alias("text"))
+    out = exploded(detect(spread(rows), merged=False, only=NAMED_SECRETS), "c_custkey")
+    return out.select("c_custkey", "category", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end_"), "value", "confidence")
+
+
+#: Code in three languages for each nation, by its key ({0}).
+CODE_OF_NATION = (
+    ("js", "function calc{0}(a{0}) {{\n  const total{0} = a{0} + 1;\n  return total{0} / external;\n}}\n"),
+    ("ts", "interface Shape{0} {{ }}\nclass Box{0} implements Shape{0} {{ }}\n"),
+    ("java", "class Item{0} {{\n    int count{0};\n    int step{0}() {{\n        return count{0};\n    }}\n}}\n"),
+)
+
+
+def rename_code(spark, sf_dir):
+    """JavaScript, TypeScript and Java for all nations, renamed across files and restored."""
+    key = F.col("n_nationkey").cast("string")
+    kind = F.col("n_nationkey") % 3
+    text = F.lit("")
+    for k, (_, code) in enumerate(CODE_OF_NATION):
+        pieces = code.replace("{{", "{").replace("}}", "}").split("{0}")
+        text = F.when(kind == k, F.concat(*[x for n, p in enumerate(pieces) for x in ([key] if n else []) + [F.lit(p)]])).otherwise(text)
+    suffix = F.element_at(F.array(*[F.lit(x) for x, _ in CODE_OF_NATION]), (kind + 1).cast("int"))
+    files = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("file_ord"), F.concat(F.lit("n"), key, F.lit("."), suffix).alias("path"), text.alias("content"))
+    done = restore(sanitize(files).files)
+    return done.select("path", "language", "sanitized", (F.col("restored") == F.col("content")).alias("equal"))
+
+
+def folder_roundtrip(spark, sf_dir):
+    """All documents written as files, read as a folder, replaced, written, read and restored from the rows of their map."""
+    import uuid
+
+    root = f"{shared_folder(spark)}/folders-{uuid.uuid4().hex}"
+    docs = spread(_table(spark, sf_dir, "documents").select(F.concat_ws("/", F.coalesce("lang", F.lit("none")), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.coalesce("text", F.lit("")).alias("content")))
+    write_files(docs, f"{root}/in")
+    done = sanitize(load_input(spark, f"{root}/in"), Settings(options=Switches(code_identifiers=False)))
+    write_files(done.files.select("path", F.col("sanitized").alias("content")), f"{root}/out")
+    back = restore_files(load_folder(spark, f"{root}/out"), change_rows(done.changes))
+    same = compare_trees(docs, back.select("path", F.col("restored").alias("content")))
+    return same.join(done.files.select("path", F.col("file_ord").cast("long").alias("file_ord")), "path", "left")
+
+
+def switched_scan(spark, sf_dir):
+    """Counts with everything on, without terms of organisations, and with all sensitive values off."""
+    out = None
+    for name, options in (("all", Switches()), ("no_org", Switches(sensitive_org_project=False)), ("none", Switches(sensitive_info=False))):
+        counts = scan_counts(detect(_docs(spark, sf_dir), Settings(options=options, known_terms=_TERMS), merged=False, only=("email", "org", "word")), "doc_id")
+        counts = counts.groupBy("category").agg(F.sum("count").alias("count")).select(F.lit(name).alias("switches"), "category", "count")
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
 def token_entropy(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select("c_custkey", F.round(entropy(F.col("c_name")), 6).alias("h"))
 
@@ -233,6 +303,7 @@ QUERIES = {
     "detect_email": _only("email"), "detect_ip": _only("ip_address"), "detect_phone": _only("phone"),
     "detect_url": _only("url", table="pages", key="page_id", column="url"), "detect_page_email": _only("email", table="pages", key="page_id", column="html"),
     "detect_hostname": _only("hostname", table="pages", key="page_id", column="html", settings=_HOSTS),
+    "detect_named_secrets": named_secrets, "switched_scan": switched_scan, "rename_code": rename_code, "folder_roundtrip": folder_roundtrip,
     "detect_secret_assignment": _only("generic_secret_assignment"), "detect_entropy": detect_entropy, "detect_known_terms": known_terms, "detect_custom_pattern": custom_pattern,
     "detect_paths_fixture": fixture_paths, "token_entropy": token_entropy, "merged_findings": merged_findings, "merge_fold": merge_fold,
     "scan_by_category": scan_by_category, "scan_by_lang_source": scan_by_lang_source, "scan_labels": scan_labels, "gated_scan": gated_scan, "stream_scan": stream_scan,
