@@ -105,6 +105,101 @@ def test_pipeline(spark):
     assert pipeline.run(spark, SF).count() == len(rows)
 
 
+def whole(spark, name, tables="documents"):
+    """Rows of a query, and of its table, by id."""
+    from maskwright.llm.queries import QUERIES
+
+    rows = QUERIES[name](spark, SF).collect()
+    table = {r.doc_id: r for r in spark.read.parquet(f"{SF}/{tables}.parquet").collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(table)
+    return rows, table
+
+
+def crc(doc_id) -> int:
+    return zlib.crc32(str(doc_id).encode())
+
+
+def test_query_4(spark):
+    rows, table = whole(spark, "op4_mix_sources")
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for i, r in table.items()}
+    source, taken, have = {i: r.source for i, r in table.items()}, Counter(), Counter()
+    want = targets(size, source)
+    for i, n in size.items():
+        have[source[i]] += n
+    for r in rows:
+        s = source[r.doc_id]
+        assert (r.size, r.source_size) == (size[r.doc_id], have[s]) and r.target == pytest.approx(want[s])
+        assert 0 <= r.taken <= 2 * r.size and (r.size == 0 or r.taken % r.size == 0)
+        taken[s] += r.taken
+    for s, n in want.items():
+        assert abs(taken[s] - n) <= max([1.0] + [size[i] for i in size if source[i] == s]), s
+
+
+def test_query_5(spark):
+    rows, table = whole(spark, "op5_shard")
+    total, shards, groups = Counter(), defaultdict(list), defaultdict(set)
+    for r in rows:
+        raw = (table[r.doc_id].text or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "bytes", None) and 0 <= r.shard < 40
+        total[r.shard] += r.size
+        shards[r.shard].append(r.slot)
+        groups[raw].add(r.shard)
+    mean, largest = sum(total.values()) / 40, max(r.size for r in rows)
+    assert all(sorted(x) == list(range(len(x))) for x in shards.values())
+    assert all(abs(total[k] - mean) <= 2 * largest for k in range(40))
+    assert all(len(x) == 1 for x in groups.values())  # no group of copies here is larger than a shard can take whole
+
+
+def test_query_6(spark):
+    from .test_operators import clusters, simhash
+
+    rows, table = whole(spark, "op6_simhash")
+    fps = {i: simhash(r.text) for i, r in table.items()}
+    root = clusters(fps)
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in rows} == {i: (f"{fp:016x}", root[i]) for i, fp in fps.items()}
+
+
+def test_query_7(spark):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    from maskwright.llm.queries import SEPARATOR, VOCABULARY
+
+    with open(public_tokenizers.path(VOCABULARY), "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file)}
+    assert SEPARATOR not in ranks.values()
+    direct = tiktoken.Encoding("direct", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows, table = whole(spark, "op7_token_counts")
+    assert {r.doc_id: r.n_tokens for r in rows} == {i: len(direct.encode_ordinary(r.text or "")) for i, r in table.items()}
+
+
+def test_query_9(spark):
+    import math
+
+    rows, table = whole(spark, "op9_maxent_lm")
+    tokens = {i: [*re.findall("[^\x20\x09-\x0d]+", (r.text or "").translate(LOWER)), None] for i, r in table.items()}
+    c = Counter(x for i, t in tokens.items() if crc(i) % 10 for x in t)
+    n, v = sum(c.values()), len(c)
+    for r in rows:
+        t = tokens[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (crc(r.doc_id) % 10 == 0, len(t), sum(x in c for x in t), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t))
+    total = lambda name: sum(r[name] for r in rows if r.held_out)
+    assert total("score") > total("base_score")
+
+
+def test_query_10(spark):
+    rows, table = whole(spark, "op10_language_id")
+    learned = {r.lang for i, r in table.items() if crc(i) % 5 and r.lang and r.text}
+    for r in rows:
+        letters = any(x.isalpha() for x in table[r.doc_id].text or "")
+        assert r.held_out == (crc(r.doc_id) % 5 == 0) and 0 <= r.score <= 1 and (r.lang_pred in learned if letters else r.lang_pred == "und")
+    own = [r for r in rows if r.held_out and table[r.doc_id].lang and r.lang_pred != "und"]
+    assert len(own) > 20 and sum(r.lang_pred == table[r.doc_id].lang for r in own) >= 0.97 * len(own)
+
+
 def test_pipeline_awkward_rows(spark):
     """Nulls, empty texts, copies and columns named like the operators' own: every stage but the last keeps the columns."""
     import corpus_pipeline as pipeline
