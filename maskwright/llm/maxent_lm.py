@@ -366,7 +366,7 @@ def train(cells: DataFrame, symbols: Symbols, most_rows: int, rounds: int, ridge
     slot = np.empty(n, np.int64)
     slot[order] = np.arange(n) - np.repeat(np.cumsum(count) - count, count)
     valid = np.arange(count.max())[None, :] < count[:, None]
-    rows = min(most_rows, max(1 << 12, 1 << (32 * n).bit_length()))
+    rows = min(most_rows, max(1 << 12, 1 << (16 * n).bit_length()))
     held = symbols.held + 0.5
     total = np.bincount(own, held, k)
     of_class, in_class = np.zeros((rows, k), np.float32), np.zeros((rows, count.max()), np.float32)
