@@ -84,7 +84,7 @@ def _linked(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 4, most: int = 4096, most_bytes: int = 32 << 20) -> DataFrame:
-    """One row per input row: ``doc_id, component_id``, the smallest id reachable over texts whose sets of ``words``-word shingles have Jaccard similarity ``least`` or more.
+    """One row per input row: ``doc_id, text_hash`` (XXH64 of its text), ``component_id``, the smallest id reachable over texts whose sets of ``words``-word shingles have Jaccard similarity ``least`` or more.
 
     Texts with equal sets meet as one before any search. Others become candidates where their fingerprints are linked within
     ``radius`` bits or a band of minima agrees, and only pairs whose sets, read whole, reach ``least`` are links. A
@@ -147,4 +147,4 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = keep.write(named, "named")
     lowest = keep.write(named.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
     by_set = keep.write(named.join(lowest.hint("merge"), "root").select("same", "component_id"), "by_set")
-    return own.select("doc_id", "same").join(by_set.hint("merge"), "same").select("doc_id", "component_id")
+    return own.select("doc_id", "text_hash", "same").join(by_set.hint("merge"), "same").select("doc_id", "text_hash", "component_id")

@@ -241,3 +241,13 @@ def test_pipeline_removes_near_copies(spark):
     rows = [(1, changed(0)), (2, changed(4)), (3, changed(0).upper()), (4, " ".join(words[:100])), (5, None)]
     docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in pipeline.near_dedup(spark, docs, SF).collect()) == [1, 4, 5]
+
+
+def test_pipeline_near_copies_without_ids(spark):
+    """A row without an id goes with the group of a row that has one, and no other row without an id keeps it."""
+    import corpus_pipeline as pipeline
+
+    texts = [" ".join(f"{a}{k}" for k in range(30)) for a in "tu"]
+    rows = [(1, texts[0]), (None, texts[0]), (None, texts[1])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id or 0, r.text) for r in pipeline.near_dedup(spark, docs, SF).collect()) == [(0, texts[1]), (1, texts[0])]
