@@ -26,9 +26,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked at Jaccard 0.8 of their five-word shingles the document with the smallest id; rows that repeat that id stay."""
-    kept = similar_texts(docs).filter("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Of each group of texts linked at Jaccard 0.8 of their five-word shingles the document with the smallest id; rows that repeat it stay.
+
+    A row without an id goes if its group has one with an id; a group of none but such rows stays.
+    """
+    kept = similar_texts(docs).filter("doc_id = component_id OR component_id IS NULL").select("doc_id", "text_hash").distinct()
+    same = docs["doc_id"].eqNullSafe(kept["doc_id"]) & (F.xxhash64(docs["text"]) == kept["text_hash"])
+    return docs.join(kept.hint("merge"), same, "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
