@@ -50,9 +50,20 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row's shard and slot; beside the operator's columns, where it came from."""
-    carry = tuple(c for c in ("lang", "source", "n_chars") if c in docs.columns)
-    return shard_by_bytes(docs, N_SHARDS, carry=carry)
+    """Each row, its text and other columns too, with its shard and slot. A column named like one of the operator's is called ``document_`` and its name."""
+    made = shard_by_bytes(docs.withColumn("_all", F.struct(*docs.columns)), N_SHARDS, carry=("_all",))
+    own = [c for c in made.columns if c != "_all"]
+    taken, rest = {c.lower() for c in (*own, *docs.columns)}, []
+    for column in docs.columns:
+        if column == "doc_id":
+            continue
+        name = column
+        if column.lower() in own:
+            while name.lower() in taken:
+                name = f"document_{name}"
+            taken.add(name.lower())
+        rest.append(F.col("_all")[column].alias(name))
+    return made.select(*own, *rest)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]

@@ -84,9 +84,9 @@ def total_bytes(df: DataFrame, column: str) -> int:
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0))).first()[0])
 
 
-def bucket_count(spark: SparkSession, n_bytes: int, each: int) -> int:
-    """Buckets of about ``each`` bytes, at least as many as shuffle partitions."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each))
+def bucket_count(spark: SparkSession, n: int, each: int) -> int:
+    """Buckets of about ``each`` of ``n`` bytes or rows, at least as many as shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // each))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

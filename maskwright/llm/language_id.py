@@ -132,7 +132,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
     Document frequencies, and so the weights of all grams, come from all labelled rows: every task sums what it reads. The
     centroids are clustered on a sample of labelled rows, of at most ``sample_rows`` (the smallest seeded hashes of their ids,
-    each language its own share, so that no other label takes a rare one's rows); that bounds what the driver holds to ``sample_rows`` sparse vectors of the ``most_languages`` most frequent labels. Rows without text or label teach nothing.
+    each language its own share, so that no other label takes a rare one's rows); that bounds what the driver holds to ``sample_rows`` sparse vectors and three centroids a label. More than ``most_languages``
+    different labels are refused with a ValueError, since a label left out could never be predicted. Rows without text or label teach nothing.
     ``least`` is the cosine under which a text is rejected as in none of the languages. That cosine grows with the length of any text, so
     there is a second test: the share of 4-byte grams (hashed into 2 ** 24 slots) that two rows of the sample hold. Its cutoff, by language, is half
     the median share of every second sample row among the grams of the others; a language without such rows has none.
@@ -140,7 +141,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).cast("binary").alias("text"))
-    per_label = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(most_languages).collect()}
+    per_label = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
+    if len(per_label) > most_languages:
+        raise ValueError(f"more than {most_languages} labels in {label_col}; raise most_languages")
     if not per_label:
         return LanguageModel((), np.zeros((0, dims), np.float32), np.zeros(0, np.int64), np.zeros(dims), least)
 

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Scratch
+from .common import Scratch, bucket_count
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, carry: tuple[str, ...] = (), range_rows: int = 2_000_000) -> DataFrame:
     """One row per input row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard`` after the ``carry`` columns.
 
     Rows are put in one global order (by a hash of the text, then id), so equal texts are neighbours and sources are
-    spread. Range partitions give that order in parallel; the sums of the partitions before give each partition's
+    spread. Range partitions, one for each ``range_rows`` rows but no fewer than shuffle partitions, give that order in parallel; the sums of the partitions before give each partition's
     offset in bytes and rows; a running sum inside each gives every row's place. The axis of all bytes is cut into
     ``n_shards`` equal pieces and a row goes where its middle lies. Equal texts move as one as long as together they
     are no larger than the largest row or a hundredth of a shard, and not so many as a quarter of a shard's rows and 1000, so no shard is off its target by more than that at either end.
     ``slot`` numbers the rows of a shard from 0 without gaps. The size of a null text is ``overhead`` alone, its CRC
     that of no bytes; null ids and repeated rows are rows like others; an empty table gives no rows. Only copies beyond
-    that are cut over many range partitions, by id. A ``carry`` column must not bear the name of a result column.
+    that are cut over many range partitions, by id. A ``carry`` column must not bear the name of a result column. A very long text is one row whose size may pass
+    a shard's target; only its size, CRC and hash are taken unless it is carried.
     """
     spark = docs.sparkSession
     keep = Scratch(spark, "shard")
@@ -32,8 +33,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
         ),
         "rows",
     )
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     total, largest, n_rows = rows.agg(F.sum("size"), F.max("size"), F.count(F.lit(1))).first()
+    parts = bucket_count(spark, n_rows, range_rows)
     total, limit = total or 1, max(largest or 0, (total or 0) // (100 * n_shards))
     copies = rows.groupBy("_order").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_n"))
     hot = keep.write(copies.filter((F.col("_bytes") > limit) | (F.col("_n") > n_rows / (4 * n_shards) + 1000)).select("_order", F.lit(True).alias("_hot")), "hot")

@@ -214,6 +214,12 @@ def test_sharding(docs, empty):
     assert shard_by_bytes(empty).count() == 0
 
 
+def test_sharding_over_more_ranges(spark, docs):
+    """The number of range partitions changes no row's place."""
+    one, many = ({(r.doc_id, r.shard, r.slot) for r in shard_by_bytes(docs.filter("doc_id IS NOT NULL"), 3, range_rows=n).collect()} for n in (2_000_000, 4))
+    assert {r[:2] for r in one} == {r[:2] for r in many}
+
+
 def test_sharding_balance(spark):
     rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
     sizes = [r["s"] for r in shard_by_bytes(rows, 40).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
@@ -343,6 +349,8 @@ def test_language_id(docs, empty, spark):
     none = fit(empty)
     assert {r.lang_pred for r in identify(docs, none).collect()} == {"und"}
     assert identify(empty, none).count() == 0
+    with pytest.raises(ValueError, match="most_languages"):
+        fit(df, most_languages=2)
 
 
 def test_language_sample_keeps_rare_labels(spark):

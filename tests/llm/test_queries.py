@@ -100,6 +100,7 @@ def test_pipeline(spark):
     texts, before, after = seen[4]
     rows = after.collect()
     assert Counter(r.doc_id for r in rows) == often and sum(r.size for r in rows) == sum(n * (len(texts[i].encode()) + 16) for i, n in often.items())
+    assert all(r.text == texts[r.doc_id] and r.source == source[r.doc_id] for r in rows) and set(before.columns) <= set(after.columns)
     for shard in {r.shard for r in rows}:
         assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
     assert pipeline.run(spark, SF).count() == len(rows)
@@ -207,7 +208,7 @@ def test_pipeline_awkward_rows(spark):
     from .test_operators import SCHEMA, awkward
 
     keep, docs = Scratch(spark, "test"), spark.createDataFrame(awkward(), SCHEMA)
-    for name in ("lang_pred", "score", "rejected", "component_id", "items", "repeats", "_all"):
+    for name in ("lang_pred", "score", "rejected", "component_id", "items", "repeats", "_all", "Size", "document_Size", "shard"):
         docs = docs.withColumn(name, F.lit("x"))
     spoken = {i for i, t, *_ in awkward() if t and len(set(t.split())) > 1}  # a lone odd token may be in no language
     for k, (name, stage) in enumerate(pipeline.STAGES):
@@ -218,7 +219,7 @@ def test_pipeline_awkward_rows(spark):
             kept = out.select("doc_id", "text", "score").collect()
             assert spoken <= {r.doc_id for r in kept} and all(r.text.strip() and r.score == "x" for r in kept)
         docs = out
-    assert docs.count() > 0
+    assert docs.count() > 0 and docs.filter("document_document_Size = 'x' AND document_shard = 'x' AND _all = 'x' AND size >= 16 AND shard < 40 AND text IS NOT NULL").count() == docs.count()
 
 
 def test_pipeline_removes_documents_with_one_item(spark):
