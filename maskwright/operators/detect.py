@@ -52,6 +52,8 @@ VALUES = (
     Detector("file_path", r"(?<![\w/])/(?:home|Users|var|etc|opt|root)/[\w./-]+", 0.7, ("/home/", "/Users/", "/var/", "/etc/", "/opt/", "/root/")),
 )
 TOKEN = r"\b[A-Za-z0-9+/_=-]{20,}\b"
+#: The same with boundaries of ASCII alone, spelt out: neither Java nor Python has another way that both read.
+ASCII_TOKEN = TOKEN.replace(r"\b", r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
 #: Java's matcher recurses for each repetition of a group; texts with such long tokens, or Windows paths in such long lines, are matched by Python instead.
 LONG_TOKEN = r"(?U)(?:^|\s)[^\s]{1000,}"
 LONG_TEXT = 1 << 15  # characters beyond which a text may hold so many findings that arrays of them are slow
@@ -79,7 +81,7 @@ def detector_columns(text: Column, settings: Settings, only: tuple[str, ...] | N
             out.append(findings(_gated(text, d.hints, d.gate, find_spans(text, d.pattern, d.prefix)), d.category, d.confidence, "regex", emit))
     emit += 1
     if allows("high_entropy_string"):
-        scored = F.transform(_gated(text, (), "[A-Za-z0-9+/_=-]{20,}", find_spans(text, TOKEN)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), entropy(s["value"]).alias("h")))
+        scored = F.transform(_gated(text, (), "[A-Za-z0-9+/_=-]{20,}", find_spans(text, ASCII_TOKEN if settings.ascii_tokens else TOKEN)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), entropy(s["value"]).alias("h")))
         scored = F.filter(scored, lambda s: s["h"] >= settings.entropy_threshold)
         sure = lambda s: F.least(F.lit(0.3) + (s["h"] - F.lit(float(settings.entropy_threshold))) * F.lit(0.1), F.lit(0.75))
         made = F.transform(scored, lambda s: F.struct(
@@ -120,7 +122,7 @@ def python_findings(text: str, settings: Settings, only: tuple[str, ...] | None
         if hinted(d) and settings.allows(d.category) and (only is None or d.category in only):
             add([m.span("v") for m in re.finditer(f"{d.prefix or ''}(?P<v>{d.pattern})", text)], d.category, d.confidence, "regex")
     emit += 1
-    for m in re.finditer(TOKEN, text) if settings.allows("high_entropy_string") and (only is None or "high_entropy_string" in only) else ():
+    for m in re.finditer(TOKEN, text, re.ASCII if settings.ascii_tokens else 0) if settings.allows("high_entropy_string") and (only is None or "high_entropy_string" in only) else ():
         token = m.group()
         h = -sum(p * math.log2(p) for p in (token.count(c) / len(token) for c in set(token)))
         if h >= settings.entropy_threshold:

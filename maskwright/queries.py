@@ -68,7 +68,7 @@ def language_heuristic(spark, sf_dir):
 
 
 def detect_entropy(spark, sf_dir):
-    return _only("high_entropy_string", settings=Settings(entropy_threshold=3.0, min_confidence=0.3))(spark, sf_dir)
+    return _only("high_entropy_string", settings=Settings(entropy_threshold=3.0, min_confidence=0.3, ascii_tokens=True))(spark, sf_dir)
 
 
 def merged_findings(spark, sf_dir):

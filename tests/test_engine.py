@@ -48,6 +48,26 @@ def test_detectors_agree_with_python(texts, settings):
         assert [f[4] for f in got[i]] == pytest.approx([f[4] for f in want])
 
 
+def test_entropy_beside_letters_beyond_ascii(spark, tmp_path):
+    """Tokens that touch a letter beyond ASCII, by both ways to find, and as a query against its SQL."""
+    import compare
+
+    from maskwright.oracles import build
+    from maskwright.queries import QUERIES
+
+    texts = ["éabcdefghijklmnopqrstuv è", "abcdefghijklmnopqrstuvñ", "é-abcdefghijklmnopqrstuv=", "+abcdefghijklmnopqrstuv/ß", "ßabcdefghijklmnopqrs=Ω", "plain abcdefghijklmnopqrstuv.", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = compare.connect(str(tmp_path))
+    df, want = QUERIES["detect_entropy"](spark, str(tmp_path)), con.execute(build()["detect_entropy"])
+    columns = [c[0] for c in want.description]
+    assert len(want := want.fetchall()) == 5 and compare.canon(df.columns, df.collect()) == compare.canon(columns, want)
+    for ascii_tokens, n in ((False, 3), (True, 5)):
+        settings = Settings(entropy_threshold=3.0, min_confidence=0.3, ascii_tokens=ascii_tokens)
+        a, b = (sorted((r.doc_id, f.start, f.end) for r in detect(docs, settings, only=("high_entropy_string",), native=native).collect() for f in r.findings) for native in (False, True))
+        assert a == b and len(a) == n
+
+
 def fold(spans):
     kept = []
     for f in sorted(spans, key=lambda f: (f[0], f[7])):
