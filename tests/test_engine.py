@@ -227,6 +227,30 @@ def test_folder(spark, tmp_path):
         load_input(spark)
 
 
+def test_a_character_cut_by_the_probe(spark, tmp_path):
+    """Texts whose byte 8,192 lies in a character, beside one that is neither UTF-8 nor Windows-1252; and the folder query against its SQL."""
+    import compare
+
+    from maskwright.oracles import build
+    from maskwright.queries import QUERIES
+    from maskwright.sources.files import PROBE
+
+    cut = ["Á" + "x" * (PROBE - 3 - k) + c + " x@y.com" for c in ("é", "”", "\U0001f600") for k in range(len(c.encode()))]
+    (tmp_path / "in").mkdir()
+    for i, text in enumerate(cut):
+        (tmp_path / "in" / f"{i}.txt").write_bytes(text.encode())
+    for name, tail in (("bad", b"\xc3"), ("worse", b"\xe2\x80x"), ("long", b"\x80\x80")):
+        (tmp_path / "in" / f"{name}.txt").write_bytes(b"\xc3\x81" + b"x" * (PROBE - 2 - len(tail)) + tail + (b"" if name == "bad" else b"xx"))
+    for name in ("no +é%20.txt", "no.png"):  # empty files are files
+        (tmp_path / "in" / name).write_bytes(b"")
+    assert {r.path: r.content for r in load_folder(spark, str(tmp_path / "in")).collect()} == {"no +é%20.txt": "", **{f"{i}.txt": text for i, text in enumerate(cut)}}
+    rows = [(i, text, "en" if i % 2 else None) for i, text in enumerate([*cut, "x@y.com", "", None])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    df, want = QUERIES["folder_roundtrip"](spark, str(tmp_path)), compare.connect(str(tmp_path)).execute(build()["folder_roundtrip"])
+    columns = [c[0] for c in want.description]
+    assert compare.canon(df.columns, df.collect()) == compare.canon(columns, want.fetchall())
+
+
 def test_command_line(spark, tmp_path, capsys):
     from maskwright.cli import main
 
