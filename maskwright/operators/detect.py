@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import Settings
+from ..functions.batches import small_batches
 from ..functions.spans import FINDING, NONE, TIERS, entropy, find_spans, findings, merge_overlaps, merged_list
 
 
@@ -149,7 +150,7 @@ def _in_python(settings: Settings, only: tuple[str, ...] | None, merged: bool):
 
     def find(texts: pa.Array) -> pa.Array:
         names, out = _FOUND.value_type.names, []
-        for text in texts.to_pylist():
+        for text in (t.as_py() for t in texts):  # one at a time
             found = None if text is None else python_findings(text, settings, only)
             out.append(None if found is None else [dict(zip(names, x, strict=True)) for x in (merged_list(found) if merged else found)])
         return pa.array(out, _FOUND)
@@ -165,6 +166,7 @@ def detect(docs: DataFrame, settings: Settings = Settings(), text_col: str = "te
     lacks is skipped. With ``native`` the same is built of SQL functions alone, which takes several times as long here; with ``guard`` its very long
     texts, and those whose tokens are so long that Java's matcher could exhaust its stack, still go through Python.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     if not native:
         return docs.withColumn("findings", _in_python(settings, only, merged)(text))

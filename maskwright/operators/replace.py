@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.batches import small_batches
 from ..functions.fakes import render, template_of
 from ..functions.stable import stable
 
@@ -72,7 +73,7 @@ _CHANGES = pa.list_(pa.struct([(name, {"string": pa.string(), "int": pa.int32(),
 
 
 def _splice(texts: pa.Array, findings: pa.Array) -> pa.Array:
-    done = [spliced(t or "", f or ()) for t, f in zip(texts.to_pylist(), findings.to_pylist(), strict=True)]
+    done = [spliced(t.as_py() or "", f.as_py() or ()) for t, f in zip(texts, findings, strict=True)]
     return pa.StructArray.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], _CHANGES)], ["sanitized", "changes"])
 
 
@@ -82,6 +83,7 @@ def replace_findings(found: DataFrame, order_col: str, fakes: DataFrame, text_co
     Only findings are shuffled to their fakes, keyed by their document; texts stay where they are until their own findings come back.
     A document without findings is unchanged. ``order_col`` must be unique.
     """
+    small_batches(found.sparkSession)
     rows = found.select(F.col(order_col).alias("_order"), F.explode("findings").alias("f"))
     rows = rows.select("_order", "f.*").join(fakes.select("category", "value", "replacement"), ["category", "value"])
     mine = rows.groupBy("_order").agg(F.array_sort(F.collect_list(F.struct("start", "end", "category", "value", "confidence", "detector", "replacement"))).alias("_found"))

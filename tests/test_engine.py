@@ -68,6 +68,38 @@ def test_entropy_beside_letters_beyond_ascii(spark, tmp_path):
         assert a == b and len(a) == n
 
 
+def test_batches_are_bounded(spark, monkeypatch):
+    """However many texts there are, a worker is sent few at once, to find and to splice, and the same is found."""
+    from maskwright.functions.batches import BYTES, ROWS
+    from maskwright.operators import replace as splicing
+    from maskwright.operators.replace import first_seen, number, replace_findings
+
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for key, n in zip(keys, ("10000", str(256 << 20))):
+            spark.conf.set(key, n)
+        docs = spark.range(0, 7000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("x"), "id", F.lit("@y.com")).alias("text"))
+        real = splicing._splice
+
+        def sized(texts, findings):
+            if len(texts) > ROWS:
+                raise ValueError(f"{len(texts)} rows at once")
+            return real(texts, findings)
+
+        monkeypatch.setattr(splicing, "_splice", sized)
+        found = detect(docs)
+        done = replace_findings(found, "doc_id", number(first_seen(found, "doc_id")))
+        assert [int(spark.conf.get(k)) for k in keys] == [ROWS, BYTES]
+        assert done.filter("size(changes) = 1 AND sanitized = concat('user', lpad(doc_id + 1, greatest(3, length(string(doc_id + 1))), '0'), '@example.com')").count() == 7000
+        spark.conf.set(keys[0], "50")
+        detect(docs)
+        assert spark.conf.get(keys[0]) == "50"
+    finally:
+        for key, n in zip(keys, before):
+            spark.conf.set(key, n)
+
+
 def fold(spans):
     kept = []
     for f in sorted(spans, key=lambda f: (f[0], f[7])):
